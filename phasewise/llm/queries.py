@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import substring
 from .simhash import op4_simhash_trie
+from .substring import op7_window_index
 
-QUERIES = {f.__name__: f for f in (op4_simhash_trie,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_simhash_trie, op7_window_index)}
+ORACLE_SQL: dict[str, str] = {**substring.ORACLE_SQL}
