@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from . import substring
-from .simhash import op4_simhash_trie
-from .substring import op7_window_index
+from . import fertility, packing, simhash, substring, warc
 
-QUERIES = {f.__name__: f for f in (op4_simhash_trie, op7_window_index)}
-ORACLE_SQL: dict[str, str] = {**substring.ORACLE_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        fertility.op1_fertility_rules,
+        packing.op2_variable_best_fit,
+        simhash.op4_simhash_trie,
+        substring.op7_window_index,
+        warc.op9_seekable_warc,
+    )
+}
+ORACLE_SQL: dict[str, str] = {**substring.ORACLE_SQL, **warc.ORACLE_SQL}
