@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import fertility, packing, simhash, substring, warc
+from . import fertility, html_text, packing, pieces, simhash, substring, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         fertility.op1_fertility_rules,
         packing.op2_variable_best_fit,
+        pieces.op3_unigram_pieces,
         simhash.op4_simhash_trie,
+        html_text.op5_text_to_tag,
         substring.op7_window_index,
         warc.op9_seekable_warc,
     )
