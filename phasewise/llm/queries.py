@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fertility, html_text, packing, pieces, simhash, substring, warc
+from . import fertility, html_text, packing, pieces, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -12,7 +12,9 @@ QUERIES = {
         pieces.op3_unigram_pieces,
         simhash.op4_simhash_trie,
         html_text.op5_text_to_tag,
+        toxicity.op6_toxic_lexicon,
         substring.op7_window_index,
+        quality.op8_random_indexing,
         warc.op9_seekable_warc,
     )
 }
