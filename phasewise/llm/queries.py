@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fertility, html_text, packing, pieces, quality, simhash, substring, toxicity, warc
+from . import fertility, html_text, neighbours, packing, pieces, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         substring.op7_window_index,
         quality.op8_random_indexing,
         warc.op9_seekable_warc,
+        neighbours.op10_nn_descent,
     )
 }
 ORACLE_SQL: dict[str, str] = {**substring.ORACLE_SQL, **warc.ORACLE_SQL}
