@@ -26,8 +26,12 @@ def root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def token() -> str:
+    return uuid.uuid4().hex[:12]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root(spark)}/{name}-{token()}"
     _made.append(path)
     return path
 
