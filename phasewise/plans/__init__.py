@@ -1,0 +1 @@
+"""Whole queries, their registry and the command line."""
