@@ -6,7 +6,7 @@ document, those that are the smallest of some window of `window` words are kept
 a few per cent of the hashes find every shared window. A batch's kept hashes
 become an immutable run sorted by hash. The new batch is merge-joined with the
 runs; windows around hashes that several documents have are verified on the
-texts by 128 bits of two independent hashes of the whole window. Runs of one
+texts by 96 bits of two independent hashes of the whole window. Runs of one
 level are merged into one run of the next once there are `fanout` of them.
 """
 
@@ -34,7 +34,7 @@ def _windows(word: np.ndarray, rows: np.ndarray, window: int, gram: int) -> tupl
 
 
 def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(h, doc_id, key): the kept hashes of every document; key is a hash of its text."""
+    """(h, doc_id, key): the kept hashes of every document; key is text_key()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,12 +56,20 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows that can take part: with a doc_id and a text."""
     return docs.where("doc_id is not null and text is not null").withColumns(
-        {"doc_id": F.col("doc_id").cast("long"), "key": F.xxhash64("text")}
+        {"doc_id": F.col("doc_id").cast("long"), "key": text_key()}
     )
 
 
+def text_key():
+    """Tells apart the texts of rows that share a doc_id; the lower half is free for a word index."""
+    return F.shiftleft(F.shiftright(F.xxhash64("text"), 32), 32)
+
+
 def _verified(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """(w1, w2, doc_id, key, start): windows of `candidates` (doc_id, key, text, found) whose kept hash is in found."""
+    """(w1, w2, doc_id, tag): windows of `candidates` (doc_id, key, text, found) whose kept hash is in found.
+
+    tag is key and the word the window starts at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,12 +89,11 @@ def _verified(candidates: DataFrame, window: int, gram: int) -> DataFrame:
                 w2 = spans.mix(spans.rolling(again, at, at + window, spans.BASES[1]))
                 row = a + rows[at]
                 first = np.searchsorted(rows, np.arange(b - a))
-                cols = [w1.view(np.int64), w2.view(np.int64), ids[row], keys[row], (at - first[rows[at]]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["w1", "w2", "doc_id", "key", "start"])
+                tag = keys[row] | (at - first[rows[at]])
+                cols = [w1.view(np.int64), (w2 >> spans.U(32)).astype(np.uint32).view(np.int32), ids[row], tag]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["w1", "w2", "doc_id", "tag"])
 
-    return candidates.select("doc_id", "key", "text", "found").mapInArrow(
-        run, "w1 long, w2 long, doc_id long, key long, start int"
-    )
+    return candidates.select("doc_id", "key", "text", "found").mapInArrow(run, "w1 long, w2 int, doc_id long, tag long")
 
 
 class WindowIndex:
@@ -140,8 +147,8 @@ class WindowIndex:
     def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Add the batch; (doc_id, key, starts) of its documents with windows that a smaller doc_id has too.
 
-        starts holds the word indices where such windows begin. What earlier
-        batches were told does not change.
+        starts holds the word indices where such windows begin, or only -1 for
+        all windows. What earlier batches were told does not change.
         """
         before = self.runs()
         number = max((int(x.split("-")[1]) for x in before), default=-1) + 1
@@ -160,23 +167,35 @@ class WindowIndex:
             texts = batch.select("doc_id", "text").union(history.select("doc_id", "text"))
         found = rows.join(shared.hint("merge"), "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("h").alias("found"))
         texts = _keyed(texts).select("doc_id", "key", "text")
+        # Of equal texts only the first one's windows count for others; all windows of a later one are in the first.
+        whole = texts.withColumns({"x": F.xxhash64("text"), "y": F.hash("text")}).select("doc_id", "key", "x", "y")
+        first = whole.groupBy("x", "y").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+        first = scratch.keep(first.select("x", "y", "low"), "first-copies")
+        copies = whole.join(first, ["x", "y"]).where("low < doc_id").select("doc_id", "key")
+        copies = scratch.keep(copies, "copies")
+        found = found.join(copies, ["doc_id", "key"], "left_anti")
         candidates = scratch.keep(texts.join(found, ["doc_id", "key"]), "candidates")
         windows = _verified(candidates, self.window, self.gram)
-        first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-        hits = windows.join(first.drop("high"), ["w1", "w2"]).where("low < doc_id")
-        hits = hits.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
+        low = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+        low = scratch.keep(low.drop("high"), "first-windows")
+        hits = windows.join(low, ["w1", "w2"]).where("low < doc_id")
+        parts = {"key": F.expr("tag & ~4294967295L"), "start": F.expr("cast(tag & 4294967295L as int)")}
+        hits = hits.withColumns(parts).groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
+        hits = hits.union(copies.select("doc_id", "key", F.array(F.lit(-1)).alias("starts")).distinct())
         if old is not None:
             mine = own.select("doc_id", "key").distinct()
             hits = hits.join(mine, ["doc_id", "key"], "left_semi")
         out = scratch.keep(hits, "hits")
-        scratch.forget(candidates)
-        scratch.forget(shared)
+        for table in (candidates, shared, first, copies, low):
+            scratch.forget(table)
         self.compact()
         return out
 
 
 def _kept(word_count: int, starts: np.ndarray, window: int) -> np.ndarray:
     """Whether each word stays."""
+    if len(starts) and starts[0] < 0:
+        return np.full(word_count, word_count < window)
     edge = np.zeros(word_count + 1, np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + window, -1)
@@ -255,7 +274,7 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     doc_id, which are never held against each other. Other columns stay.
     """
     hits = duplicate_windows(docs, window, gram, batches)
-    keyed = docs.withColumn("key", F.xxhash64("text"))
+    keyed = docs.withColumn("key", text_key())
     out = rewritten(keyed, hits, window)
     out = out.where((F.col("n_removed") == 0) | (F.col("kept_text") != ""))
     changed = {"text": F.col("kept_text")}
@@ -273,7 +292,7 @@ def op7_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     hits = duplicate_windows(docs)
-    keyed = docs.withColumn("key", F.xxhash64("text"))
+    keyed = docs.withColumn("key", text_key())
     cut = rewritten(keyed.join(hits, ["doc_id", "key"]), hits)
     digest = F.sha2(word_line(F.col("kept_text")), 256).alias("sha")
     touched = cut.select("doc_id", "key", "n_removed", digest).dropDuplicates(["doc_id", "key"])
