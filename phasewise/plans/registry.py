@@ -415,12 +415,12 @@ def mono_allelic_sites(spark, sf_dir):
 
 
 @query(f"""
-WITH {A.COUNTS_SQL}, d AS (SELECT 'd' || CAST(pos % 3 AS VARCHAR) AS donor_id, chrom, pos % 500 AS pos, ref, alt, ref_count, alt_count, other_count FROM counts)
+WITH {A.COUNTS_SQL}, d AS (SELECT 'd' || CAST(pos % 3 AS VARCHAR) AS donor_id, 'chr1' AS chrom, pos % 500 AS pos, ref, alt, ref_count, alt_count, other_count FROM counts)
 SELECT donor_id, chrom, pos, ref, alt FROM (SELECT DISTINCT donor_id, chrom, pos, ref, alt, ref_count, alt_count, other_count FROM d) GROUP BY ALL HAVING count(*) > 1""")
 def conflicting_counts(spark, sf_dir):
     from phasewise.sinks.bundle import conflicting
 
-    c = A.counts(spark, sf_dir).withColumns({"donor_id": F.concat(F.lit("d"), F.col("pos") % 3), "pos": F.col("pos") % 500})
+    c = A.counts(spark, sf_dir).withColumns({"donor_id": F.concat(F.lit("d"), F.col("pos") % 3), "chrom": F.lit("chr1"), "pos": F.col("pos") % 500})
     return conflicting(c)
 
 
@@ -455,10 +455,10 @@ def haplotype_layers(spark, sf_dir):
 
 
 @query(f"""
-WITH {A.COUNTS_SQL}, g AS (SELECT region AS gene_id, pos % 4 AS s, sum(ref_count + alt_count) AS t FROM counts GROUP BY ALL)
+WITH {A.COUNTS_SQL}, g AS (SELECT region AS gene_id, (pos // 200) % 4 AS s, sum(ref_count + alt_count) AS t FROM counts GROUP BY ALL)
 SELECT gene_id FROM g GROUP BY gene_id HAVING count(*) FILTER (t >= 60) >= 2""")
 def expressed_genes(spark, sf_dir):
-    c = A.counts(spark, sf_dir).groupBy(F.col("region").alias("gene_id"), (F.col("pos") % 4).alias("sample_id")).agg(F.sum(F.col("ref_count") + F.col("alt_count")).alias("total_count"))
+    c = A.counts(spark, sf_dir).groupBy(F.col("region").alias("gene_id"), (F.floor(F.col("pos") / 200) % 4).alias("sample_id")).agg(F.sum(F.col("ref_count") + F.col("alt_count")).alias("total_count"))
     return expression.expressed_genes(c, 60)
 
 

@@ -33,7 +33,10 @@ def inflate_blocks(source) -> Iterator[bytes]:
         data = waiting or source.read(1 << 20)
         if not data:
             return
-        out = unpack.decompress(data)
+        try:
+            out = unpack.decompress(data)
+        except zlib.error as e:
+            raise ValueError("the file isn't block-gzipped") from e
         if out:
             yield out
         waiting = unpack.unused_data if unpack.eof else b""
@@ -142,11 +145,11 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     c = F.col("c")
     rest = F.slice("c", 12, F.greatest(F.size("c") - 11, F.lit(0)))
     tag = F.transform(rest, lambda x: F.struct(F.substring(x, 1, 2), F.regexp_extract(x, r"^..:.:(.*)$", 1)))
-    mate = F.when(c[6] == "=", c[2]).otherwise(c[6])
+    mate = F.when(F.get(c, F.lit(6)) == "=", F.get(c, F.lit(2))).otherwise(F.get(c, F.lit(6)))
     rows = lines.select(F.split("value", "\t").alias("c"), "file_order").withColumn("tags", F.map_from_entries(tag))
     return rows.select(
-        c[0].alias("qname"), c[1].cast("int").alias("flag"), c[2].alias("chrom"), (c[3].cast("long") - 1).alias("pos0"), c[4].cast("int").alias("mapq"), c[5].alias("cigar"),
-        mate.alias("mate_chrom"), (c[7].cast("long") - 1).alias("mate_pos0"), c[9].alias("seq"), c[10].alias("qual"), "tags", F.col("tags")["CB"].alias("cb"), "file_order",
+        F.get(c, F.lit(0)).alias("qname"), F.get(c, F.lit(1)).try_cast("int").alias("flag"), F.get(c, F.lit(2)).alias("chrom"), (F.get(c, F.lit(3)).try_cast("long") - 1).alias("pos0"), F.get(c, F.lit(4)).try_cast("int").alias("mapq"), F.get(c, F.lit(5)).alias("cigar"),
+        mate.alias("mate_chrom"), (F.get(c, F.lit(7)).try_cast("long") - 1).alias("mate_pos0"), F.get(c, F.lit(9)).alias("seq"), F.get(c, F.lit(10)).alias("qual"), "tags", F.col("tags")["CB"].alias("cb"), "file_order",
     )
 
 

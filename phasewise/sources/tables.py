@@ -29,7 +29,7 @@ def read_bed(spark: SparkSession, path: str, names: bool = True) -> DataFrame:
     """chrom, start, end and region: the fourth column, or chrom_start_end without one."""
     c = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").rlike("^(#|track|browser|\\s*$)")).select(c.alias("c"))
-    chrom, start, end = F.col("c")[0], F.col("c")[1].cast("long"), F.col("c")[2].cast("long")
+    chrom, start, end = F.get("c", F.lit(0)), F.get("c", F.lit(1)).try_cast("long"), F.get("c", F.lit(2)).try_cast("long")
     label = C.interval_label(chrom, start, end)
     name = F.coalesce(F.get("c", F.lit(3)), label) if names else label
     return rows.select(chrom.alias("chrom"), start.alias("start"), end.alias("end"), name.alias("region"))
@@ -103,7 +103,7 @@ def read_barcodes(spark: SparkSession, path: str) -> DataFrame:
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
     """barcode, group of a file without header; more columns are ignored."""
     c = F.split("value", "\t")
-    return spark.read.text(path).where(F.trim("value") != "").select(c[0].alias("barcode"), c[1].alias("group"))
+    return spark.read.text(path).where(F.trim("value") != "").select(F.get(c, F.lit(0)).alias("barcode"), F.get(c, F.lit(1)).alias("group"))
 
 
 def read_fragments(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +114,7 @@ def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """Expected positions of swapped reads: qname, mate, pos1, pos2; lines of fewer than five columns are left out."""
     c = F.split("value", "\t")
     rows = spark.read.text(path).where(F.size(c) >= 5)
-    return rows.select(c[0].alias("qname"), c[1].cast("int").alias("mate"), c[2].cast("long").alias("pos1"), c[3].cast("long").alias("pos2")).where("pos1 is not null")
+    return rows.select(F.get(c, F.lit(0)).alias("qname"), F.get(c, F.lit(1)).try_cast("int").alias("mate"), F.get(c, F.lit(2)).try_cast("long").alias("pos1"), F.get(c, F.lit(3)).try_cast("long").alias("pos2")).where("pos1 is not null")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

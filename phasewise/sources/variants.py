@@ -71,15 +71,17 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     names = header_samples(spark, path)
     if len(set(names)) != len(names):
         raise ValueError(f"{path} has a sample twice")
-    cols = F.split(F.regexp_replace("value", "\r$", ""), "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(cols.alias("c"), F.split(cols[8], ":").alias("f"))
+    data = ~F.col("value").startswith("#") & (F.trim("value") != "")
+    # Header lines are null for every expression, wherever the optimiser puts the filter.
+    cols = F.split(F.when(data, F.regexp_replace("value", "\r$", "")), "\t")
+    rows = spark.read.text(path).where(data).select(cols.alias("c"), F.split(F.get(cols, F.lit(8)), ":").alias("f"))
     slot = F.array_position("f", F.lit("GT"))
     gt = F.transform(F.slice("c", 10, len(names)) if names else F.array().cast("array<string>"), lambda x: F.when(slot > 0, F.try_element_at(F.split(x, ":"), slot.cast("int"))))
     keys = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-    pos = F.col("c")[1].cast("long")
+    pos = F.get("c", F.lit(1)).try_cast("long")
     return rows.select(
-        F.col("c")[0].alias("chrom"), (pos - 1).alias("pos0"), pos.alias("pos"), (pos - 1 + F.length(F.col("c")[3])).alias("end"), F.col("c")[2].alias("id"),
-        F.col("c")[3].alias("ref"), F.split(F.col("c")[4], ",").alias("alts"), F.map_from_arrays(keys, gt).alias("GT"),
+        F.get("c", F.lit(0)).alias("chrom"), (pos - 1).alias("pos0"), pos.alias("pos"), (pos - 1 + F.length(F.get("c", F.lit(3)))).alias("end"), F.get("c", F.lit(2)).alias("id"),
+        F.get("c", F.lit(3)).alias("ref"), F.split(F.get("c", F.lit(4)), ",").alias("alts"), F.map_from_arrays(keys, gt).alias("GT"),
     )
 
 
@@ -90,8 +92,8 @@ def read_pvar(spark: SparkSession, path: str) -> DataFrame:
     c = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     rows = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("ordinal long, value string")
-    pos = c[at["POS"]].cast("long")
-    return rows.select("ordinal", C.with_chr(c[at["CHROM"]]).alias("chrom"), (pos - 1).alias("pos0"), pos.alias("pos"), (pos - 1 + F.length(c[at["REF"]])).alias("end"), c[at["ID"]].alias("id"), c[at["REF"]].alias("ref"), F.split(c[at["ALT"]], ",").alias("alts"))
+    pos = F.get(c, F.lit(at["POS"])).try_cast("long")
+    return rows.select("ordinal", C.with_chr(F.get(c, F.lit(at["CHROM"]))).alias("chrom"), (pos - 1).alias("pos0"), pos.alias("pos"), (pos - 1 + F.length(F.get(c, F.lit(at["REF"])))).alias("end"), F.get(c, F.lit(at["ID"])).alias("id"), F.get(c, F.lit(at["REF"])).alias("ref"), F.split(F.get(c, F.lit(at["ALT"])), ",").alias("alts"))
 
 
 def read_psam(spark: SparkSession, path: str) -> list[str]:
