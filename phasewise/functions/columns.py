@@ -123,7 +123,16 @@ def _any(op: Column, kinds: str) -> Column:
 def reference_length(cigar: Column) -> Column:
     """Bases of the reference that the alignment spans."""
     add = lambda acc, x: acc + F.when(_any(x["op"], "MDN=X"), x["len"].cast("long")).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(cigar_ops(cigar), F.lit(0).cast("long"), add)
+    return F.when(_one_block(cigar), _block_length(cigar)).otherwise(F.aggregate(cigar_ops(cigar), F.lit(0).cast("long"), add))
+
+
+def _one_block(cigar: Column) -> Column:
+    """Most reads are one block of matches; their arithmetic needs no loop over operations."""
+    return cigar.rlike("^[0-9]+[M=X]$")
+
+
+def _block_length(cigar: Column) -> Column:
+    return F.substr(cigar, F.lit(1), F.length(cigar) - 1).try_cast("long")
 
 
 def query_position(cigar: Column, pos0: Column, target: Column) -> Column:
@@ -141,7 +150,8 @@ def query_position(cigar: Column, pos0: Column, target: Column) -> Column:
             F.coalesce(acc["at"], F.when(inside, acc["query"] + target - acc["ref"])).alias("at"),
         )
 
-    return F.aggregate(cigar_ops(cigar), zero, step, lambda acc: acc["at"])
+    block = F.when((target >= pos0) & (target < pos0 + _block_length(cigar)), target - pos0)
+    return F.when(_one_block(cigar), block).otherwise(F.aggregate(cigar_ops(cigar), zero, step, lambda acc: acc["at"]))
 
 
 def location(pos0: Column, ref_end: Column, v_start: Column, v_end: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phasewise.functions import columns as C
-from phasewise.operators.interval_join import interval_join
+from phasewise.operators.interval_join import READ_BIN, interval_join
 
 UNMAPPED = 0x4
 
@@ -37,9 +37,11 @@ def covered(alignments: DataFrame, variants: DataFrame, flag_mask: int = UNMAPPE
     reads = alignments.where((F.col("flag").bitwiseAND(F.lit(flag_mask)) == 0) & (F.col("pos0") >= 0))
     reads = reads.withColumn("__end", F.col("pos0") + C.reference_length(F.col("cigar")))
     points = variants.select(F.col("chrom").alias("v_chrom"), F.col("pos0").alias("v_pos0"), (F.col("pos0") + 1).alias("__v_end"), "ref", "alt", "enc_idx", *(["snp_idx"] if "snp_idx" in variants.columns else []))
-    pairs = interval_join(reads, points, ("chrom", "pos0", "__end"), ("v_chrom", "v_pos0", "__v_end"))
+    pairs = interval_join(reads, points, ("chrom", "pos0", "__end"), ("v_chrom", "v_pos0", "__v_end"), READ_BIN)
     at = C.query_position(F.col("cigar"), F.col("pos0"), F.col("v_pos0"))
-    return pairs.withColumn("qpos", at).where("qpos is not null and qpos < length(seq)").drop("__end", "__v_end")
+    # A generator, unlike a filter, isn't moved into the join, where it would run for all pairs of a bin.
+    one = F.filter(F.array(at), lambda q: q.isNotNull() & (q < F.length("seq")))
+    return pairs.withColumn("qpos", F.explode(one)).drop("__end", "__v_end")
 
 
 def allele_class(seq: Column, qpos: Column, ref: Column, alt: Column, strict: bool = True) -> Column:
@@ -69,11 +71,12 @@ def count_bulk(alignments: DataFrame, variants: DataFrame, min_qual: int = 0, fl
     """`variants` with ref_count, alt_count and other_count, 0 where no read counts."""
     pairs = covered(alignments, indexed(variants, order), flag_mask)
     record = ["chrom", "qname", "file_order"]
-    fields = F.struct("enc_idx", "v_pos0", "qpos", "ref", "alt", "seq", "qual")
-    best = pairs.groupBy(*record).agg(F.min_by(fields, F.col("enc_idx")).alias("b")).select(*record, "b.*")
+    # The class is found before the shuffle, which then carries no sequences; what has none goes only after the choice.
+    cls = allele_class(F.col("seq"), F.col("qpos"), F.col("ref"), F.col("alt"))
     if min_qual > 0:
-        best = best.where(C.base_quality(F.col("qual"), F.col("qpos").cast("int")) >= min_qual)
-    best = best.withColumn("cls", allele_class(F.col("seq"), F.col("qpos"), F.col("ref"), F.col("alt"))).where("cls is not null")
+        cls = F.when(C.base_quality(F.col("qual"), F.col("qpos").cast("int")) >= min_qual, cls)
+    rated = pairs.select(*record, "enc_idx", F.struct("v_pos0", cls.alias("cls")).alias("at"))
+    best = rated.groupBy(*record).agg(F.min_by("at", "enc_idx").alias("b")).select(*record, "b.*").where("cls is not null")
     first = best.groupBy("chrom", "qname").agg(F.min_by(F.struct("v_pos0", "cls"), F.col("file_order")).alias("b"))
     counts = count_sums(first.select("chrom", F.col("b.v_pos0").alias("pos0"), F.col("b.cls").alias("cls")).groupBy("chrom", "pos0"))
     out = variants.join(counts, ["chrom", "pos0"], "left")
@@ -92,7 +95,8 @@ def count_cells(alignments: DataFrame, variants: DataFrame, barcodes: DataFrame,
     if min_qual > 0:
         pairs = pairs.where(C.base_quality(F.col("qual"), F.col("qpos").cast("int")) >= min_qual)
     base = F.substr("seq", F.col("qpos").cast("int") + 1, F.lit(1))
-    pairs = pairs.withColumn("cls", F.when(base == F.col("ref"), "ref").when(base == F.col("alt"), "alt").otherwise("other"))
+    cls = F.when(base == F.col("ref"), "ref").when(base == F.col("alt"), "alt").otherwise("other")
+    pairs = pairs.select("chrom", "qname", "file_order", "snp_idx", "bc_idx", cls.alias("cls"))
     first = pairs.groupBy("chrom", "qname").agg(F.min_by(F.struct("snp_idx", "bc_idx", "cls"), F.struct("snp_idx", "file_order")).alias("b"))
     counts = count_sums(first.select("b.*").groupBy("snp_idx", "bc_idx"))
     return counts.select("snp_idx", "bc_idx", F.col("ref_count").alias("ref"), F.col("alt_count").alias("alt"), F.col("other_count").alias("other"))
@@ -103,7 +107,7 @@ def cell_read_stats(alignments: DataFrame, variants: DataFrame, barcodes: DataFr
     reads = alignments.join(barcodes, alignments["cb"] == barcodes["barcode"], "left")
     mapped = reads.where(F.col("flag").bitwiseAND(F.lit(UNMAPPED)) == 0).withColumn("__end", F.col("pos0") + C.reference_length(F.col("cigar")))
     points = variants.select(F.col("chrom").alias("v_chrom"), F.col("pos0").alias("v_pos0"), (F.col("pos0") + 1).alias("__v_end"), "snp_idx")
-    pairs = interval_join(mapped, points, ("chrom", "pos0", "__end"), ("v_chrom", "v_pos0", "__v_end"))
+    pairs = interval_join(mapped, points, ("chrom", "pos0", "__end"), ("v_chrom", "v_pos0", "__v_end"), READ_BIN)
     at = C.query_position(F.col("cigar"), F.col("pos0"), F.col("v_pos0"))
     kind = F.when(F.col("cb").isNull(), "no_barcode").when(F.col("bc_idx").isNull(), "unlisted_barcode").when(at.isNull(), "no_base").otherwise("usable")
     pairs = pairs.withColumn("kind", kind)

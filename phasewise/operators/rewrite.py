@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.functions import columns as C
-from phasewise.operators.interval_join import interval_join
-from phasewise.operators.pairs import REVERSE, mate_pairs
+from phasewise.operators.interval_join import READ_BIN, interval_join
+from phasewise.operators.pairs import REVERSE, mate_pairs, overlapping_names
 
 _OP = re.compile(r"(\d+)([MIDNSHP=X])")
 #: Quality of inserted bases without neighbours, and of padding.
@@ -253,7 +253,8 @@ def make_copies(alignments: DataFrame, variants: DataFrame, gt: str = "GT", inde
     and the genotype column, in allele indices. Copies of reads on the reverse
     strand are still as aligned; the FASTQ sink turns them.
     """
-    pairs = mate_pairs(alignments)
+    # Only names with an overlap are paired: most reads' sequences are never shuffled.
+    pairs = mate_pairs(alignments.join(overlapping_names(alignments, variants), "qname", "left_semi"))
     both = C.alleles(F.col(gt), F.col("ref"), F.col("alts") if "alts" in variants.columns else F.array("alt"))
     v = variants.withColumn("__a", both).where("size(__a) = 2 and not exists(__a, x -> x is null)")
     edit = F.struct(F.col("pos0").alias("start"), F.col("end").alias("stop"), F.col("__a")[0].alias("hap1"), F.col("__a")[1].alias("hap2"), F.length("ref").alias("ref_len"))
@@ -263,7 +264,7 @@ def make_copies(alignments: DataFrame, variants: DataFrame, gt: str = "GT", inde
     for i in (1, 2):
         m = F.col(f"r{i}")
         mates.append(pairs.select("chrom", "qname", F.lit(i).alias("mate"), m["pos0"].alias("start"), (m["pos0"] + C.reference_length(m["cigar"])).alias("stop")))
-    hits = interval_join(mates[0].union(mates[1]), v, ("chrom", "start", "stop"), ("__c", "__s", "__e"))
+    hits = interval_join(mates[0].union(mates[1]), v, ("chrom", "start", "stop"), ("__c", "__s", "__e"), READ_BIN)
     edits = hits.groupBy("chrom", "qname").agg(
         *[F.array_sort(F.collect_set(F.when(F.col("mate") == i, F.col("edit")))).alias(f"edits{i}") for i in (1, 2)],
         C.overlap_mask(F.col("snv"), ~F.col("snv")).alias("overlap_mask"),
