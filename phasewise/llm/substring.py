@@ -254,7 +254,8 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, b
     the batch itself, so the result does not depend on their number.
     """
     spark = docs.sparkSession
-    cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
+    shares = [i / batches for i in range(1, batches)]
+    cuts = docs.where("doc_id is not null").approxQuantile("doc_id", shares, 0.01) if shares else []
     index = WindowIndex(spark, scratch.new_path(spark, "window-index"), window, gram)
     out, low = None, None
     for high in [*sorted({int(x) for x in cuts}), None]:

@@ -32,7 +32,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 #: Characters that don't show.
 JOINERS = "­​‌‍⁠﻿"
 _FOLD = str.maketrans(HOMOGLYPHS | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | dict.fromkeys(JOINERS, ""))
-_SWAPPED = re.compile(r"(?<=[^\W\d_])[0134578@$]+(?=[^\W\d_])|\b[01345789@$]+(?=[^\W\d_]{2})")
+_SWAPPED = re.compile(r"(?<=[^\W\d_])[0134578@$]+(?=[^\W\d_])|\b[0134578@$]+(?=[^\W\d_])")
 _SWAP = str.maketrans(DIGITS)
 _GAP = re.compile(r"[\W\d_]+")
 #: Lengths of word beginnings that may enter the lexicon.
