@@ -30,7 +30,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SCRIPTS = {"latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xCA)], "greek": [(0xCE, 0xCF)], "cyrillic": [(0xD0, 0xD3)], "semitic": [(0xD6, 0xDD)], "indic": [(0xE0, 0xE0)], "asian": [(0xE3, 0xED)]}
 #: Deviations from the median that a band allows, and the least half width as a share of it.
 WIDTH, LEAST = 5.0, 0.1
-#: Documents that a language and length need for bands of their own.
+#: Documents that a group needs for bands of its own.
 LEAST_DOCS = 50
 
 METRICS = ("chars_per_token", "byte_share", "token_entropy")
@@ -145,17 +145,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(measured: DataFrame, group: Column) -> DataFrame:
-    """Per group of texts that pass the base rules: the band of each metric. Few rows: one for each language or script and length."""
-    sound = measured.where(~base_failed()).select(group.alias("band"), *METRICS)
+def bands(measured: DataFrame, levels: list[Column]) -> DataFrame:
+    """Per group of texts that pass the base rules: the band of each metric.
+
+    Every text is in one group of each level; groups of fewer than LEAST_DOCS
+    have none. A row for each language or script and length, so few.
+    """
+    sound = measured.where(~base_failed()).select(F.explode(F.array(*levels)).alias("band"), *METRICS)
     middle = sound.groupBy("band").agg(F.count("*").alias("n"), *[F.percentile_approx(m, 0.5, 2000).alias(f"{m}_mid") for m in METRICS])
+    middle = scratch.keep(middle.where(F.col("n") >= LEAST_DOCS), "band-middles")
     off = sound.join(middle, "band").groupBy("band").agg(
-        F.first("n").alias("n"),
         *[F.first(f"{m}_mid").alias(f"{m}_mid") for m in METRICS],
         *[F.percentile_approx(F.abs(F.col(m) - F.col(f"{m}_mid")), 0.5, 2000).alias(f"{m}_dev") for m in METRICS],
     )
     half = {m: F.greatest(WIDTH * 1.4826 * F.col(f"{m}_dev"), LEAST * F.col(f"{m}_mid")) for m in METRICS}
-    return off.where(F.col("n") >= LEAST_DOCS).select(
+    return off.select(
         "band",
         (F.col("chars_per_token_mid") - half["chars_per_token"]).alias("chars_low"),
         (F.col("chars_per_token_mid") + half["chars_per_token"]).alias("chars_high"),
@@ -168,20 +172,25 @@ def judged(docs: DataFrame, vocabulary_path: str = f"{FOLDER}/{VOCABULARY}", fol
     """`docs` with MEASURED, base_failed and kept.
 
     `docs` needs text; a lang column, where there is one and it is not null,
-    chooses the bands, else the script does. A language and length with too few
-    documents for bands are judged by the base rules alone. Null and empty texts fail; no
+    chooses the bands, else the script does. Where a language and length have
+    too few documents, those of the language hold, else of all texts, without
+    that of entropy; with fewer in all the base rules alone decide. Null and empty texts fail; no
     rows give no rows; repeated rows are judged each.
     """
     measured = scratch.keep(measure(docs, vocabulary_path), folder_name)
     script = F.concat(F.lit("script:"), "script")
     name = F.coalesce(F.col("lang").cast("string"), script) if "lang" in docs.columns else script
-    group = F.concat_ws(" ", name, F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))))
-    limits = scratch.keep(bands(measured, group), "bands")
-    m = measured.withColumn("__band", group).join(limits.withColumnRenamed("band", "__band"), "__band", "left")
+    levels = [F.concat_ws(" ", name, F.floor(F.log2(F.greatest("n_tokens", F.lit(1))))), name, F.lit("*")]
+    limits = scratch.keep(bands(measured, levels), "bands")
+    m = measured
+    for i, level in enumerate(levels):
+        m = m.withColumn("__band", level).join(limits.select(F.col("band").alias("__band"), F.struct("*").alias(f"__l{i}")), "__band", "left").drop("__band")
+    best = F.coalesce("__l0", "__l1", "__l2")
     outside = (
-        ~F.col("chars_per_token").between(F.col("chars_low"), F.col("chars_high"))
-        | (F.col("byte_share") > F.col("byte_high"))
-        | (F.col("token_entropy") < F.col("entropy_low"))
+        ~F.col("chars_per_token").between(best["chars_low"], best["chars_high"])
+        | (F.col("byte_share") > best["byte_high"])
+        # Entropy rises with length, so bands of all lengths say nothing on it.
+        | (F.col("token_entropy") < F.col("__l0")["entropy_low"])
     )
     out = m.withColumn("base_failed", base_failed())
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False)))
