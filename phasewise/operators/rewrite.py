@@ -8,11 +8,11 @@ a pair that no haplotype changes is kept as it is.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.functions import columns as C
@@ -246,20 +246,11 @@ def _scores(text: str) -> list[int]:
 COPIES = "qname string, chrom string, outcome string, name string, seq1 string, qual1 string, seq2 string, qual2 string, reverse1 boolean, reverse2 boolean, trim_id int, total_trims int, exp_pos1 long, exp_pos2 long, overlap_mask byte"
 
 
-def make_copies(alignments: DataFrame, variants: DataFrame, gt: str = "GT", indels: bool = False, max_indel: int = 50, tag: str = C.TAG) -> DataFrame:
-    """COPIES: for every pair that overlaps a variant, its changed copies, or one row without a name that tells why there are none.
-
-    variants: chrom, pos0, end, ref, alt, alts (array of all ALTs at the place)
-    and the genotype column, in allele indices. Copies of reads on the reverse
-    strand are still as aligned; the FASTQ sink turns them.
-    """
+def _overlapping_pairs(alignments: DataFrame, variants: DataFrame, edit: Column, snv: Column) -> DataFrame:
+    """Pairs with an overlap: qname, chrom, fields of both mates, edits1, edits2 (sorted, distinct) and overlap_mask."""
     # Only names with an overlap are paired: most reads' sequences are never shuffled.
     pairs = mate_pairs(alignments.join(overlapping_names(alignments, variants), "qname", "left_semi"))
-    both = C.alleles(F.col(gt), F.col("ref"), F.col("alts") if "alts" in variants.columns else F.array("alt"))
-    v = variants.withColumn("__a", both).where("size(__a) = 2 and not exists(__a, x -> x is null)")
-    edit = F.struct(F.col("pos0").alias("start"), F.col("end").alias("stop"), F.col("__a")[0].alias("hap1"), F.col("__a")[1].alias("hap2"), F.length("ref").alias("ref_len"))
-    snv = (F.length("ref") == 1) & (F.length(F.col("__a")[0]) == 1) & (F.length(F.col("__a")[1]) == 1)
-    v = v.select(F.col("chrom").alias("__c"), F.col("pos0").alias("__s"), F.col("end").alias("__e"), edit.alias("edit"), snv.alias("snv"))
+    v = variants.select(F.col("chrom").alias("__c"), F.col("pos0").alias("__s"), F.col("end").alias("__e"), edit.alias("edit"), snv.alias("snv"))
     mates = []
     for i in (1, 2):
         m = F.col(f"r{i}")
@@ -269,23 +260,73 @@ def make_copies(alignments: DataFrame, variants: DataFrame, gt: str = "GT", inde
         *[F.array_sort(F.collect_set(F.when(F.col("mate") == i, F.col("edit")))).alias(f"edits{i}") for i in (1, 2)],
         C.overlap_mask(F.col("snv"), ~F.col("snv")).alias("overlap_mask"),
     )
-    j = pairs.join(edits, ["chrom", "qname"])
     cols = [F.col(f"r{i}.{c}").alias(f"{c}{i}") for i in (1, 2) for c in ("pos0", "cigar", "seq", "qual", "flag")]
-    j = j.select("qname", "chrom", *cols, "edits1", "edits2", "overlap_mask")
-    schema = pa.schema([("qname", pa.string()), ("chrom", pa.string()), ("outcome", pa.string()), *[(c, pa.string()) for c in ("name", "seq1", "qual1", "seq2", "qual2")], ("reverse1", pa.bool_()), ("reverse2", pa.bool_()), ("trim_id", pa.int32()), ("total_trims", pa.int32()), ("exp_pos1", pa.int64()), ("exp_pos2", pa.int64()), ("overlap_mask", pa.int8())])
+    return pairs.join(edits, ["chrom", "qname"]).select("qname", "chrom", *cols, "edits1", "edits2", "overlap_mask")
+
+
+def _rewritten(pairs: DataFrame, rewrite: Callable[[dict], tuple[str, list[dict]]]) -> DataFrame:
+    """COPIES of _overlapping_pairs() by a function from a row to its outcome and copies."""
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "byte": pa.int8()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in COPIES.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                m = [Mate(r[f"pos0{i}"], r[f"cigar{i}"], r[f"seq{i}"], _scores(r[f"qual{i}"]), [Edit(**e) for e in r[f"edits{i}"]]) for i in (1, 2)]
-                outcome, copies = pair_copies(r["qname"], *m, indels, max_indel, tag=tag)
+                outcome, copies = rewrite(r)
                 base = {"qname": r["qname"], "chrom": r["chrom"], "outcome": outcome, "overlap_mask": r["overlap_mask"]}
                 base |= {f"reverse{i}": bool(r[f"flag{i}"] & REVERSE) for i in (1, 2)}
                 out += [base | c for c in copies] or [base]
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return j.mapInArrow(run, COPIES)
+    return pairs.mapInArrow(run, COPIES)
+
+
+def make_copies(alignments: DataFrame, variants: DataFrame, gt: str = "GT", indels: bool = False, max_indel: int = 50, tag: str = C.TAG) -> DataFrame:
+    """COPIES: for every pair that overlaps a variant, its changed copies, or one row without a name that tells why there are none.
+
+    variants: chrom, pos0, end, ref, alt, alts (array of all ALTs at the place)
+    and the genotype column, in allele indices. Copies of reads on the reverse
+    strand are still as aligned; the FASTQ sink turns them.
+    """
+    both = C.alleles(F.col(gt), F.col("ref"), F.col("alts") if "alts" in variants.columns else F.array("alt"))
+    v = variants.withColumn("__a", both).where("size(__a) = 2 and not exists(__a, x -> x is null)")
+    h1, h2 = F.col("__a")[0], F.col("__a")[1]
+    edit = F.struct(F.col("pos0").alias("start"), F.col("end").alias("stop"), h1.alias("hap1"), h2.alias("hap2"), F.length("ref").alias("ref_len"))
+    snv = (F.length("ref") == 1) & (F.length(h1) == 1) & (F.length(h2) == 1)
+
+    def rewrite(r: dict) -> tuple[str, list[dict]]:
+        m = [Mate(r[f"pos0{i}"], r[f"cigar{i}"], r[f"seq{i}"], _scores(r[f"qual{i}"]), [Edit(**e) for e in r[f"edits{i}"]]) for i in (1, 2)]
+        return pair_copies(r["qname"], *m, indels, max_indel, tag=tag)
+
+    return _rewritten(_overlapping_pairs(alignments, v, edit, snv), rewrite)
+
+
+def make_sample_copies(alignments: DataFrame, variants: DataFrame, samples: Sequence[str], most: int = 64, tag: str = C.TAG) -> DataFrame:
+    """COPIES with the distinct haplotypes of several samples, whose genotypes are in GT_<sample>.
+
+    The mates' haplotypes are taken side by side, as many as the mate with fewer has.
+    """
+    alts = F.col("alts") if "alts" in variants.columns else F.array("alt")
+    pair = lambda s: F.coalesce(C.alleles(F.col(f"GT_{s}"), F.col("ref"), alts), F.array(F.lit("."), F.lit(".")))
+    edit = F.struct(F.col("pos0").alias("start"), F.col("end").alias("stop"), F.array(*map(pair, samples)).alias("alleles"))
+    snv = (F.length("ref") == 1) & (F.length("alt") == 1)
+
+    def rewrite(r: dict) -> tuple[str, list[dict]]:
+        sides = []
+        for i in (1, 2):
+            v = [(e["start"], e["stop"], [tuple(a) for a in e["alleles"]]) for e in r[f"edits{i}"]]
+            sides.append(sample_haplotypes(Alignment.of(r[f"pos0{i}"], r[f"cigar{i}"]), r[f"seq{i}"], _scores(r[f"qual{i}"]), v, most))
+        many = max(map(len, sides))
+        sides = [x * many if not r[f"edits{i}"] else x for i, x in zip((1, 2), sides, strict=True)]
+        found = [(x, y) for x, y in zip(*sides, strict=False) if (x[0], y[0]) != (r["seq1"], r["seq2"])]
+        out = []
+        for nth, (x, y) in enumerate(found, 1):
+            name = r["qname"] + tag + "_".join(map(str, (r["pos01"], r["pos02"], nth, len(found))))
+            out.append({"name": name, "seq1": x[0], "qual1": _text(x[1]), "seq2": y[0], "qual2": _text(y[1]), "trim_id": 0, "total_trims": 1, "exp_pos1": r["pos01"], "exp_pos2": r["pos02"]})
+        return ("remap" if out else "keep"), out
+
+    return _rewritten(_overlapping_pairs(alignments, variants, edit, snv), rewrite)
 
 
 def copy_stats(copies: DataFrame) -> DataFrame:

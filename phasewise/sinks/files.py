@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -98,3 +99,13 @@ def write_export(df: DataFrame, path: str, format: str = "parquet") -> None:
         anndata.AnnData(X=table[["ref_count", "alt_count"]].to_numpy(), obs=table.astype({"chrom": str})).write_h5ad(path)
     else:
         raise ValueError("format must be parquet, zarr or h5ad")
+
+
+def write_state(spark, state: dict, path: str) -> None:
+    """A small mapping, such as where a mapping run's files lie, as JSON."""
+    text = json.dumps(state, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_state(spark, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])

@@ -139,9 +139,9 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of SAM text in line order."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
-    lines = lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("value string, file_order long")
+    """Records of SAM text; file_order rises with the line in its file."""
+    lines = spark.read.text(path).withColumn("file_order", F.monotonically_increasing_id())
+    lines = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
     c = F.col("c")
     rest = F.slice("c", 12, F.greatest(F.size("c") - 11, F.lit(0)))
     tag = F.transform(rest, lambda x: F.struct(F.substring(x, 1, 2), F.regexp_extract(x, r"^..:.:(.*)$", 1)))

@@ -117,6 +117,16 @@ def read_positions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.get(c, F.lit(0)).alias("qname"), F.get(c, F.lit(1)).try_cast("int").alias("mate"), F.get(c, F.lit(2)).try_cast("long").alias("pos1"), F.get(c, F.lit(3)).try_cast("long").alias("pos2")).where("pos1 is not null")
 
 
+def read_intersections(spark: SparkSession, path: str, samples: tuple[str, ...] = ()) -> DataFrame:
+    """Overlaps of reads and variants that another tool wrote, a row for each."""
+    names = "chrom string, start long, stop long, read string, mapq int, strand string, v_chrom string, v_pos0 long, v_end long, ref string, alt string"
+    gts = "".join(f", GT_{s} string" for s in samples) if len(samples) > 1 else ", GT string"
+    df = spark.read.csv(path, sep="\t", schema=names + gts)
+    mate = F.regexp_extract("read", "/([12])$", 1).try_cast("int")
+    out = df.withColumns({"mate": mate, "read": F.regexp_replace("read", "/[12]$", "")})
+    return out.dropDuplicates(["read", "mate", "chrom", "v_pos0", "v_end", "ref", "alt"])
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Donors of a cohort: exactly donor_id, vcf_sample and bam, each unique, sorted by donor."""
     df = spark.read.csv(path, sep="\t", header=True)

@@ -108,7 +108,7 @@ def test_bam_and_sam(spark, tmp_path):
     bam = A.read_alignments(spark, str(tmp_path / "a.bam")).orderBy("file_order").collect()
     (tmp_path / "a.sam").write_text("@HD\tVN:1.6\nq1\t67\tc\t11\t60\t4M1I2M\t*\t0\t0\tACGTACG\tABCDEFG\tCB:Z:AA-1\tNM:i:2\txa:B:s,-1,3\nq2\t4\tc\t0\t60\t*\t*\t0\t0\tACN\t###\n")
     sam = A.read_alignments(spark, str(tmp_path / "a.sam")).orderBy("file_order").collect()
-    keys = ("qname", "flag", "chrom", "pos0", "mapq", "cigar", "seq", "qual", "cb", "file_order")
+    keys = ("qname", "flag", "chrom", "pos0", "mapq", "cigar", "seq", "qual", "cb")
     assert [[r[k] for k in keys] for r in bam] == [[r[k] for k in keys] for r in sam]
     assert bam[0]["tags"] == {"CB": "AA-1", "NM": "2", "xa": "-1,3"}
     with pytest.raises(ValueError):
@@ -147,6 +147,13 @@ def test_small_tables(spark, tmp_path):
         T.read_sample_sheet(spark, str(tmp_path / "s.csv"), ("sample", "bam"))
 
 
+def test_intersections_and_state(spark, tmp_path):
+    (tmp_path / "i.bed").write_text("c\t5\t15\tq/1\t60\t+\tc\t7\t8\tA\tG\t0|1\n" * 2)
+    assert [(r["read"], r["mate"], r["GT"]) for r in T.read_intersections(spark, str(tmp_path / "i.bed")).collect()] == [("q", 1, "0|1")]
+    files.write_state(spark, {"a": [1]}, str(tmp_path / "s"))
+    assert files.read_state(spark, str(tmp_path / "s")) == {"a": [1]}
+
+
 def sam_line(q, flag, pos1, seq, cb="x"):
     return f"{q}\t{flag}\tchr1\t{pos1}\t60\t{len(seq)}M\t=\t{pos1}\t0\t{seq}\t{'F' * len(seq)}\tCB:Z:{cb}\n"
 

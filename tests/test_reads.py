@@ -184,3 +184,10 @@ def test_remap_filter(spark):
     assert {r["orig"]: r["verdict"] for r in pairs.remap_verdicts(df, sidecar=side).collect()}["m"] == "kept"
     original = spark.createDataFrame([read(n, i, 10) for i, n in enumerate("kmxz")], READS)
     assert [r["qname"] for r in pairs.filter_remapped(original, df).collect()] == ["k"]
+
+
+def test_copies_of_samples(spark):
+    rows = [read("q", 0, 100, flag=99), read("q", 1, 130, flag=147, seq="C" * 10)]
+    v = spark.createDataFrame([("c", 104, 105, 105, "A", "G", "0|1", "1|1"), ("c", 106, 107, 107, "A", "T", "0|1", "./.")], "chrom string, pos0 long, pos long, end long, ref string, alt string, GT_a string, GT_b string")
+    out = rewrite.make_sample_copies(spark.createDataFrame(rows, READS), v, ["a", "b"]).collect()
+    assert [(r["seq1"], r["seq2"]) for r in out] == [("AAAAGATAAA", "C" * 10)] and out[0]["name"] == "q_SWAP_100_130_1_1"
