@@ -19,7 +19,7 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def chunks(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes; a longer text is a range of its own."""
     _, off = buffers(column)
     at, n = 0, len(column)
