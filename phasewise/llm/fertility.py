@@ -11,7 +11,6 @@ of the median deviation from them.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch, spans
+from . import rows, scratch, spans
 
 #: Names of the vocabulary files in the folder of public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -117,28 +116,20 @@ def token_metrics(texts: list[str], path: str) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(new, len(key)))
     owner = key[new] >> 20
     p = count / some[owner]
-    entropy = np.bincount(owner, weights=-p * np.log2(p), minlength=len(texts))
+    # Without any token numpy counts in whole numbers.
+    entropy = np.bincount(owner, weights=-p * np.log2(p), minlength=len(texts)).astype(float)
     return n, chars, share, entropy
 
 
 def measure(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """Columns MEASURED besides those of `docs`, which must have text; a null text counts as empty."""
-    kept = [c for c in docs.columns]
+    """rows.ROW and the columns MEASURED; a null text counts as empty."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch["text"]
-            for a, b in spans.chunks(text):
-                part = text.slice(a, b - a)
-                data, off = spans.buffers(part)
-                counts = base_counts(data, off)
-                tokens = token_metrics([t.as_py() or "" for t in part], vocabulary_path)
-                cols = [pa.array(x) for x in (*counts, *tokens)] + [pa.array(script_of(data, off))]
-                own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([own[c] for c in kept] + cols, [*kept, *(x.split()[0] for x in MEASURED.split(", "))])
+    def run(text: pa.Array) -> list:
+        data, off = spans.buffers(text)
+        tokens = token_metrics([t.as_py() or "" for t in text], vocabulary_path)
+        return [*base_counts(data, off), *tokens, script_of(data, off)]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, {MEASURED}")
+    return rows.added(docs, ["text"], MEASURED, run, 1 << 20)
 
 
 def base_failed() -> Column:
@@ -168,18 +159,11 @@ def bands(measured: DataFrame, levels: list[Column]) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, vocabulary_path: str = f"{FOLDER}/{VOCABULARY}", folder_name: str = "measured") -> DataFrame:
-    """`docs` with MEASURED, base_failed and kept.
-
-    `docs` needs text; a lang column, where there is one and it is not null,
-    chooses the bands, else the script does. Where a language and length have
-    too few documents, those of the language hold, else of all texts, without
-    that of entropy; with fewer in all the base rules alone decide. Null and empty texts fail; no
-    rows give no rows; repeated rows are judged each.
-    """
-    measured = scratch.keep(measure(docs, vocabulary_path), folder_name)
+def verdicts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """rows.ROW, MEASURED, base_failed and kept."""
+    measured = scratch.keep(measure(docs, vocabulary_path), "measured")
     script = F.concat(F.lit("script:"), "script")
-    name = F.coalesce(F.col("lang").cast("string"), script) if "lang" in docs.columns else script
+    name = F.coalesce(F.col(rows.ROW)["lang"].cast("string"), script) if "lang" in docs.columns else script
     levels = [F.concat_ws(" ", name, F.floor(F.log2(F.greatest("n_tokens", F.lit(1))))), name, F.lit("*")]
     limits = scratch.keep(bands(measured, levels), "bands")
     m = measured
@@ -194,13 +178,24 @@ def judged(docs: DataFrame, vocabulary_path: str = f"{FOLDER}/{VOCABULARY}", fol
     )
     out = m.withColumn("base_failed", base_failed())
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False)))
-    names = [x.split()[0] for x in MEASURED.split(", ")]
-    return out.select(*docs.columns, *names, "base_failed", "kept")
+    return out.select(rows.ROW, *rows.names_of(MEASURED), "base_failed", "kept")
+
+
+def judged(docs: DataFrame, vocabulary_path: str = f"{FOLDER}/{VOCABULARY}") -> DataFrame:
+    """`docs` with MEASURED, base_failed and kept, which take the place of columns of these names.
+
+    `docs` needs text; a lang column, where there is one and it is not null,
+    chooses the bands, else the script does. Where a language and length have
+    too few documents, those of the language hold, else of all texts, without
+    that of entropy; with fewer in all the base rules alone decide. Null and
+    empty texts fail; no rows give no rows; repeated rows are judged each.
+    """
+    return rows.spread(verdicts(docs, vocabulary_path), docs.columns, [*rows.names_of(MEASURED), "base_failed", "kept"])
 
 
 def keep_good(docs: DataFrame, vocabulary_path: str = f"{FOLDER}/{VOCABULARY}") -> DataFrame:
-    """The rows of `docs` that are kept, with its columns."""
-    return judged(docs, vocabulary_path).where("kept").select(*docs.columns)
+    """The rows of `docs` that are kept, as they were."""
+    return rows.own(verdicts(docs, vocabulary_path).where("kept"), docs.columns)
 
 
 def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

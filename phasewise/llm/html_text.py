@@ -13,7 +13,6 @@ text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rows
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -158,16 +159,9 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """`pages` with a column main_text from html; other columns stay. Null html gives an empty text, no rows no rows."""
-    names = pages.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([main_text(x.as_py()) for x in batch["html"]], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), texts], [*names, "main_text"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return pages.mapInArrow(run, f"{fields}, main_text string")
+    """`pages` with a column main_text from html, in place of one of that name. Null html gives an empty text, no rows no rows."""
+    out = rows.added(pages, ["html"], "main_text string", lambda html: [pa.array([main_text(x.as_py()) for x in html], pa.string())])
+    return rows.spread(out, pages.columns, ["main_text"])
 
 
 def op5_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import spans
+from . import rows, spans
 from .labelled import MOST_ROWS, held_out, sample
 
 #: Places of the word table and of shapes, and lengths of their vectors; these bound the model.
@@ -202,22 +202,20 @@ def _batches(texts: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
         yield pa.array([r["text"] for r in held], pa.string()), np.array([r["y"] for r in held], float)
 
 
-def scored(docs: DataFrame, model: Quality | None) -> DataFrame:
-    """`docs` with quality (0 to 1); without a model all have 0.5. Other columns stay."""
-    names = docs.columns
+def rated(docs: DataFrame, model: Quality | None) -> DataFrame:
+    """rows.ROW and quality (0 to 1); without a model all have 0.5."""
     at = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(text: pa.Array) -> list:
         m = at.value
-        for batch in batches:
-            if m is None:
-                s = np.full(batch.num_rows, 0.5)
-            else:
-                s = m.scores(document_vectors(batch["text"], m.table))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(s)], [*names, "quality"])
+        return [np.full(len(text), 0.5) if m is None else m.scores(document_vectors(text, m.table))]
+
+    return rows.added(docs, ["text"], "quality double", run)
 
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, quality double")
+
+def scored(docs: DataFrame, model: Quality | None) -> DataFrame:
+    """`docs` with quality, in place of a column of that name. Null and empty texts are rated like any other."""
+    return rows.spread(rated(docs, model), docs.columns, ["quality"])
 
 
 def learnt(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Quality | None:
@@ -225,8 +223,8 @@ def learnt(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Quality
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = MOST_ROWS) -> DataFrame:
-    """The rows of `docs` that score `least` or more, with its columns."""
-    return scored(docs, learnt(docs, labels, most)).where(F.col("quality") >= least).select(*docs.columns)
+    """The rows of `docs` that score `least` or more, as they were."""
+    return rows.own(rated(docs, learnt(docs, labels, most)).where(F.col("quality") >= least), docs.columns)
 
 
 def op8_random_indexing(spark: SparkSession, sf_dir: str, most: int = MOST_ROWS) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch, spans
+from . import rows, scratch, spans
 
 WINDOW = 50
 GRAM = 12
@@ -41,10 +41,10 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             ids, keys = batch["doc_id"].to_numpy(), batch["key"].to_numpy()
             for a, b in spans.chunks(batch["text"]):
                 data, off = spans.buffers(batch["text"].slice(a, b - a))
-                starts, ends, rows = spans.words(data, off)
-                low, whole = _windows(spans.word_hashes(data, starts, ends), rows, window, gram)
+                starts, ends, owner = spans.words(data, off)
+                low, whole = _windows(spans.word_hashes(data, starts, ends), owner, window, gram)
                 at = np.flatnonzero(whole)
-                low, row = low[at], rows[at]
+                low, row = low[at], owner[at]
                 new = np.ones(len(at), bool)
                 new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
                 low, row = low[new].view(np.int64), a + row[new]
@@ -203,38 +203,34 @@ def _kept(word_count: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def rewritten(docs: DataFrame, hits: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Columns n_removed and kept_text besides those of `docs` (doc_id, key, text): the text without covered words.
+    """rows.ROW, n_removed and kept_text of `docs`: the text without the words that `hits` cover.
 
     White space before a kept word stays, so lines stay lines. Without hits the
     text is unchanged and n_removed is 0.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed, texts = np.zeros(batch.num_rows, np.int64), []
-            for i, (text, starts) in enumerate(zip(batch["text"], batch["starts"], strict=True)):
-                text = text.as_py()
-                if not starts.is_valid or text is None:
-                    texts.append(text)
-                    continue
-                raw = np.frombuffer(text.encode(), np.uint8)
-                begin, end, _ = spans.words(raw, np.array([0, len(raw)]))
-                stays = _kept(len(begin), starts.values.to_numpy(), window)
-                removed[i] = len(begin) - int(stays.sum())
-                gap = np.concatenate(([0], end[:-1]))
-                edge = np.zeros(len(raw) + 1, np.int64)
-                edge[gap[~stays]] += 1
-                edge[end[~stays]] -= 1
-                texts.append(raw[np.cumsum(edge[:-1]) == 0].tobytes().decode().lstrip(" \t\n\v\f\r"))
-            names = [x for x in batch.schema.names if x != "starts"]
-            cols = [batch[x] for x in names] + [pa.array(removed), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "n_removed", "kept_text"])
-
-    left = docs.join(hits, ["doc_id", "key"], "left") if "starts" not in docs.columns else docs
-    fields = [f for f in left.schema.fields if f.name != "starts"]
-    left = left.select(*[f.name for f in fields], "starts")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return left.mapInArrow(run, f"{schema}, n_removed long, kept_text string")
+    id_key = {"__id": F.col("doc_id").cast("long"), "__key": text_key()}
+    found = hits.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("starts").alias("__starts"))
+    left = docs.withColumns(id_key).join(found, ["__id", "__key"], "left").drop("__id", "__key")
+
+    def run(text: pa.Array, starts: pa.Array) -> list:
+        removed, texts = np.zeros(len(text), np.int64), []
+        for i, (t, covered) in enumerate(zip(text, starts, strict=True)):
+            t = t.as_py()
+            if not covered.is_valid or t is None:
+                texts.append(t)
+                continue
+            raw = np.frombuffer(t.encode(), np.uint8)
+            begin, end, _ = spans.words(raw, np.array([0, len(raw)]))
+            stays = _kept(len(begin), covered.values.to_numpy(), window)
+            removed[i] = len(begin) - int(stays.sum())
+            gap = np.concatenate(([0], end[:-1]))
+            edge = np.zeros(len(raw) + 1, np.int64)
+            edge[gap[~stays]] += 1
+            edge[end[~stays]] -= 1
+            texts.append(raw[np.cumsum(edge[:-1]) == 0].tobytes().decode().lstrip(" \t\n\v\f\r"))
+        return [removed, pa.array(texts, pa.string())]
+
+    return rows.added(left, ["text", "__starts"], "n_removed long, kept_text string", run)
 
 
 def word_line(text) -> F.Column:
@@ -275,14 +271,13 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     doc_id, which are never held against each other. Other columns stay.
     """
     hits = duplicate_windows(docs, window, gram, batches)
-    keyed = docs.withColumn("key", text_key())
-    out = rewritten(keyed, hits, window)
+    out = rewritten(docs, hits, window)
     out = out.where((F.col("n_removed") == 0) | (F.col("kept_text") != ""))
     changed = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(kind)).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).select(*docs.columns)
+        old = F.col(rows.ROW)["n_chars"]
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(old)
+    return out.select(*[changed.get(c, F.col(rows.ROW)[c]).alias(c) for c in docs.columns])
 
 
 def op7_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,9 +289,9 @@ def op7_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     hits = duplicate_windows(docs)
     keyed = docs.withColumn("key", text_key())
-    cut = rewritten(keyed.join(hits, ["doc_id", "key"]), hits)
-    digest = F.sha2(word_line(F.col("kept_text")), 256).alias("sha")
-    touched = cut.select("doc_id", "key", "n_removed", digest).dropDuplicates(["doc_id", "key"])
+    cut = rewritten(keyed.join(hits.select("doc_id", "key"), ["doc_id", "key"], "left_semi"), hits)
+    cut = cut.select(f"{rows.ROW}.doc_id", f"{rows.ROW}.key", "n_removed", F.sha2(word_line(F.col("kept_text")), 256).alias("sha"))
+    touched = cut.dropDuplicates(["doc_id", "key"])
     line = word_line(F.col("text"))
     base = keyed.select("doc_id", "key", word_count(line).alias("n_words"), F.sha2(line, 256).alias("whole"))
     return base.join(touched, ["doc_id", "key"], "left").select(

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rows
 from .labelled import MOST_ROWS, held_out, logistic, sample
 
 #: Letters of other scripts that look like Latin ones.
@@ -121,8 +122,8 @@ def _counted(texts: DataFrame, keys) -> DataFrame:
         cols = [pa.array(every, pa.string()), pa.array([count[1][g] for g in every], pa.int64()), pa.array([count[0][g] for g in every], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, ["gram", "pos", "neg"])
 
-    rows = texts.select("text", "y").mapInArrow(run, "gram string, pos long, neg long")
-    return rows.groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    part = texts.select("text", "y").mapInArrow(run, "gram string, pos long, neg long")
+    return part.groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def _odds(pos: int, neg: int, n_pos: int, n_neg: int) -> tuple[float, float]:
@@ -169,26 +170,25 @@ def fit(texts: DataFrame, seeds: dict[str, float] | None = None, exceptions: fro
     spared = [(r["neg"], r["gram"]) for r in benign if _odds(r["pos"], r["neg"], n_pos, n_neg)[0] <= -0.5]
     spared.sort(key=lambda x: (-x[0], x[1]))
     lexicon = Lexicon(weights, exceptions | {g for _, g in spared[:MOST_EXCEPTIONS]})
-    rows = scored(texts, lexicon).select("y", "f").collect()
-    x, y = np.array([r["f"] for r in rows]), np.array([r["y"] for r in rows], float)
+    learnt = scored(texts, lexicon).select("y", "f").collect()
+    x, y = np.array([r["f"] for r in learnt]), np.array([r["y"] for r in learnt], float)
     lexicon.model = logistic(x, y)
     return lexicon
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """`docs` with toxicity (0 to 1) and its features f; null and empty texts have no hits. Other columns stay."""
-    names = docs.columns
+    """`docs` with toxicity (0 to 1) and its features f, in place of columns of these names.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            folded = [fold(t.as_py()) for t in batch["text"]]
-            f = [lexicon.features(x) for x in folded]
-            z = np.clip(np.array(f).reshape(-1, 3) @ lexicon.model[:3] + lexicon.model[3], -30, 30)
-            cols = [pa.array(1 / (1 + np.exp(-z))), pa.array([list(x) for x in f], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *cols], [*names, "toxicity", "f"])
-
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, toxicity double, f array<double>")
+    Null and empty texts have no hits; no rows give no rows.
+    """
+
+    def run(text: pa.Array) -> list:
+        f = [lexicon.features(fold(t.as_py())) for t in text]
+        z = np.clip(np.array(f).reshape(-1, 3) @ lexicon.model[:3] + lexicon.model[3], -30, 30)
+        return [1 / (1 + np.exp(-z)), pa.array([list(x) for x in f], pa.list_(pa.float64()))]
+
+    out = rows.added(docs, ["text"], "toxicity double, f array<double>", run)
+    return rows.spread(out, docs.columns, ["toxicity", "f"])
 
 
 def op6_toxic_lexicon(spark: SparkSession, sf_dir: str, most: int = MOST_ROWS) -> DataFrame:
