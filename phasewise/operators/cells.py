@@ -20,7 +20,12 @@ def het_only(snps: DataFrame, gt: str) -> DataFrame:
 
 
 def dense_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Rows numbered from 0 by `order`, in parallel: ranges are ranked apart and shifted by what lies before."""
+    """Rows numbered from 0 by `order`, in parallel: ranges are sorted apart and shifted by what lies before.
+
+    This is one of few uses of an RDD: the shift must come from the very same
+    partitions that are numbered, which two queries on a sampled range
+    partitioning don't promise.
+    """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return parts.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(_with_long(df, name))
 
@@ -37,8 +42,8 @@ def drop_outliers(snps: DataFrame, features: DataFrame, z_cutoff: float) -> tupl
     snps: snp_idx, ref_count, alt_count; features: region, snp_idx. Deviation is that of the population.
     """
     total = F.col("ref_count") + F.col("alt_count")
-    m = snps.agg(F.avg(total).alias("m"), F.stddev_pop(total).alias("d"))
-    odd = snps.crossJoin(F.broadcast(m)).where(F.abs((total - F.col("m")) / F.col("d")) > z_cutoff).select("snp_idx")
+    mean, deviation = snps.agg(F.avg(total), F.stddev_pop(total)).first()
+    odd = snps.where(F.abs(F.try_divide(total - F.lit(mean), F.lit(deviation))) > z_cutoff).select("snp_idx")
     regions = features.join(odd, "snp_idx", "left_semi").select("region").distinct()
     gone = features.join(regions, "region", "left_semi").select("snp_idx").distinct()
     return snps.join(gone, "snp_idx", "left_anti"), features.join(gone, "snp_idx", "left_anti")

@@ -84,6 +84,27 @@ def biallelic_snvs(spark, sf_dir):
     return V.records_to_variants(_records(spark, sf_dir)).select("pos0", "ref", "alt")
 
 
+@query("""
+SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'chr' || CAST(s_suppkey AS VARCHAR) WHEN s_suppkey % 3 = 1 THEN 'chrX' ELSE 'GL' || CAST(s_suppkey AS VARCHAR) END AS chrom,
+  'c_' || CAST(s_suppkey AS VARCHAR) AS v, 'c_1_' || CAST(s_suppkey AS VARCHAR) AS i, 'c:' || CAST(s_suppkey AS VARCHAR) || ':A>G' AS s FROM supplier""")
+def names_and_labels(spark, sf_dir):
+    """Chromosome names with their prefix; labels of variants and intervals."""
+    k = F.col("s_suppkey")
+    raw = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, "X").otherwise(F.concat(F.lit("GL"), k))
+    c = F.lit("c")
+    return A.table(spark, sf_dir, "supplier").select(k.alias("k"), C.with_chr(raw).alias("chrom"), C.variant_label(c, k).alias("v"), C.interval_label(c, F.lit(1), k).alias("i"), C.snp_id(c, k, F.lit("A"), F.lit("G")).alias("s"))
+
+
+@query("""
+SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN v + w <= 40 THEN 'upstream' WHEN v >= 40 + CAST(l_quantity AS INT) THEN 'downstream' WHEN v < 40 THEN 'spans_start' ELSE 'within' END AS place
+FROM (SELECT *, l_partkey % 97 AS v, 1 + l_suppkey % 9 AS w FROM lineitem)""")
+def variant_places(spark, sf_dir):
+    """Where variants lie relative to a read."""
+    v, w = F.col("l_partkey") % 97, 1 + F.col("l_suppkey") % 9
+    d = A.table(spark, sf_dir, "lineitem")
+    return d.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), C.location(F.lit(40), F.lit(40) + F.col("l_quantity").cast("int"), v, v + w).alias("place"))
+
+
 # Interval joins --------------------------------------------------------------------
 
 
@@ -190,6 +211,29 @@ def count_cells(spark, sf_dir):
     return counting.count_cells(A.reads(spark, sf_dir), v, barcodes)
 
 
+@query(f"""
+WITH {A.READS_SQL}, {A.POINTS_SQL}
+SELECT r.qname, CAST(max(CASE WHEN p.pos % 3 > 0 THEN 1 ELSE 0 END) + 2 * max(CASE WHEN p.pos % 3 = 0 THEN 1 ELSE 0 END) AS TINYINT) AS mask
+FROM reads r JOIN points p ON r.chrom = p.chrom AND p.pos0 >= r.pos0 AND p.pos0 < r.pos0 + r.len WHERE flag <> 4 GROUP BY r.qname""")
+def overlap_masks(spark, sf_dir):
+    """Which kinds of variants each name overlaps; every third place stands for an indel."""
+    hits = pairs.read_variants(A.reads(spark, sf_dir), A.points(spark, sf_dir))
+    indel = (F.col("v_pos0") + 1) % 3 == 0
+    return hits.groupBy(F.col("read").alias("qname")).agg(C.overlap_mask(~indel, indel).alias("mask"))
+
+
+@query(f"""
+WITH {A.READS_SQL}, {A.POINTS_SQL}, c AS (SELECT l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS fo, l_suppkey % 50 AS bc, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_suppkey, l_extendedprice) AS copy FROM lineitem),
+h AS (SELECT r.chrom, r.qname, bc FROM reads r JOIN c ON r.file_order = c.fo AND r.copy = c.copy JOIN (SELECT DISTINCT chrom, pos0 FROM points) p ON r.chrom = p.chrom AND p.pos0 >= r.pos0 AND p.pos0 < r.pos0 + r.len WHERE flag <> 4)
+SELECT chrom, CAST(0 AS BIGINT) AS no_barcode, CAST(count(*) FILTER (bc >= 40) AS BIGINT) AS unlisted_barcode, CAST(0 AS BIGINT) AS no_base,
+  CAST(count(DISTINCT qname) FILTER (bc < 40) AS BIGINT) AS counted, CAST(count(*) FILTER (bc < 40) - count(DISTINCT qname) FILTER (bc < 40) AS BIGINT) AS seen_before FROM h GROUP BY chrom""")
+def cell_read_reasons(spark, sf_dir):
+    """Why reads over variants count in cells or don't."""
+    v = A.points(spark, sf_dir).select("chrom", "pos0").distinct().withColumn("snp_idx", F.col("pos0"))
+    barcodes = spark.range(40).select(F.col("id").cast("string").alias("barcode"), F.col("id").alias("bc_idx"))
+    return counting.cell_read_stats(A.reads(spark, sf_dir), v, barcodes)
+
+
 @query(f"""
 WITH {A.READS_SQL}, r AS (SELECT * FROM reads WHERE flag <> 4), n AS (
   SELECT *, row_number() OVER (PARTITION BY chrom, qname ORDER BY file_order, copy) AS i FROM r
@@ -352,6 +396,14 @@ def pseudobulk(spark, sf_dir):
     return cell_ops.group_sums(A.coo(spark, sf_dir), A.cells(spark, sf_dir))
 
 
+@query(f"""WITH {A.CELLS_SQL} SELECT snp_idx, {", ".join(f"CAST(coalesce(sum({c}) FILTER (\"group\" = '{g}'), 0) AS BIGINT) AS {g}_{c}" for g in ("g0", "g1") for c in ("ref", "alt", "other"))}
+FROM coo JOIN cells USING (bc_idx) WHERE "group" IN ('g0', 'g1') GROUP BY snp_idx""")
+def group_columns(spark, sf_dir):
+    """Sums of two groups of cells side by side."""
+    cells = A.cells(spark, sf_dir).where(F.col("group").isin("g0", "g1"))
+    return expression.pivot_groups(A.coo(spark, sf_dir), cells, ["g0", "g1"])
+
+
 @query(f"""WITH {A.CELLS_SQL} SELECT bc_idx, count(*) AS n_snps, CAST(sum(ref + alt + other) AS BIGINT) AS total, CAST(sum(ref) AS BIGINT) AS ref_total, CAST(sum(alt) AS BIGINT) AS alt_total FROM coo GROUP BY bc_idx""")
 def cell_totals(spark, sf_dir):
     return expression.cell_qc(A.coo(spark, sf_dir))
