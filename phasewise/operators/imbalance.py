@@ -187,7 +187,7 @@ def terms(table: pa.Table, starts: np.ndarray) -> Terms:
 
 
 def fit_regions(rows: DataFrame, phased: bool, shared: bool = False, keys: tuple[str, ...] = ("region",), exact_single: bool = False) -> DataFrame:
-    """null_ll, alt_ll, mu, lrt, pval and snp_count of each region of `rows` (chrom, pos, ref, N, gt, rho and keys).
+    """snp_count, ref_sum, n_sum, null_ll, alt_ll, mu, lrt and pval of each region of `rows` (chrom, pos, ref, N, gt, rho and keys).
 
     exact_single: a region of one variant has its closed-form mean.
     """
@@ -206,11 +206,12 @@ def fit_regions(rows: DataFrame, phased: bool, shared: bool = False, keys: tuple
             null, alt = t.null_ll(), -f(mu)
             lrt = np.maximum(-2 * (null - alt), 0.0)
             cols = [table[x].take(pa.array(starts)).combine_chunks() for x in keys]
-            cols += [pa.array(x) for x in (size.astype(np.int64), null, alt, mu, lrt, bb.chi2_sf(lrt))]
-            yield pa.RecordBatch.from_arrays(cols, [*keys, "snp_count", "null_ll", "alt_ll", "mu", "lrt", "pval"])
+            cols += [pa.array(x.astype(np.int64)) for x in (size, t.sums(t.c * t.k), t.sums(t.c * t.n))]
+            cols += [pa.array(x) for x in (null, alt, mu, lrt, bb.chi2_sf(lrt))]
+            yield pa.RecordBatch.from_arrays(cols, [*keys, "snp_count", "ref_sum", "n_sum", "null_ll", "alt_ll", "mu", "lrt", "pval"])
 
     kinds = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
-    return region_histogram(rows, keys).mapInArrow(run, f"{kinds}, snp_count long, null_ll double, alt_ll double, mu double, lrt double, pval double")
+    return region_histogram(rows, keys).mapInArrow(run, f"{kinds}, snp_count long, ref_sum long, n_sum long, null_ll double, alt_ll double, mu double, lrt double, pval double")
 
 
 def find_imbalance(
@@ -250,10 +251,8 @@ def find_imbalance(
         rho = F.greatest(F.lit(bb.RHO_MIN), F.least(F.lit(1 - bb.RHO_MIN), F.col("rho")))
     rows = rows.withColumn("rho", rho.cast("double"))
     fitted = fit_regions(rows, usable, shared=donor)
-    off = pseudocount if compat_region_totals else pseudocount * F.col("n")
-    sums = rows.groupBy("region").agg(F.sum("ref").alias("r"), F.sum("alt").alias("a"), F.count("*").alias("n"))
-    sums = sums.select("region", (F.col("r") - off).alias("ref_count"), (F.col("a") - off).alias("alt_count"))
-    sums = sums.withColumn("N", F.col("ref_count") + F.col("alt_count"))
-    out = sums.join(fitted, "region")
+    off = F.lit(pseudocount) if compat_region_totals else pseudocount * F.col("snp_count")
+    sums = {"ref_count": F.col("ref_sum") - off, "alt_count": F.col("n_sum") - F.col("ref_sum") - off}
+    out = fitted.withColumns(sums).withColumn("N", F.col("ref_count") + F.col("alt_count"))
     out = bh_adjust(out)
     return out.select("region", "ref_count", "alt_count", "N", "snp_count", "null_ll", "alt_ll", "mu", "lrt", "pval", "fdr_pval")
