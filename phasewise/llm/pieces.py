@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import spans
+from . import rows
 from .fertility import FOLDER
 
 MODEL = "piece_bpe_32k.model"
@@ -28,7 +28,9 @@ MARKER = "▁"
 #: What an unknown character costs below the least log score, a fixed value of the library.
 UNKNOWN_PENALTY = 10.0
 #: Segments that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+#: Segments of more bytes go through the lattice alone and aren't remembered.
+LONG = 256
 _SEGMENT = re.compile(rf" *[^ \n\t{MARKER}]+| +|[\n\t{MARKER}]")
 
 
@@ -97,6 +99,7 @@ class PieceModel:
         self.trie = DoubleArray({t.replace(MARKER, " ").encode(): i for t, i, _ in pieces})
         self.unknown = min(s for _, _, s in pieces) - UNKNOWN_PENALTY
         self.known: dict[str, tuple[int, ...]] = {}
+        self._lists = None
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -115,7 +118,10 @@ class PieceModel:
         """Best path of each segment, spaces standing for markers."""
         raw = [s.encode() for s in segments]
         out: list[tuple[int, ...]] = [()] * len(raw)
-        order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
+        for i, x in enumerate(raw):
+            if len(x) > LONG:
+                out[i] = self._long(x)
+        order = sorted((i for i in range(len(raw)) if len(raw[i]) <= LONG), key=lambda i: len(raw[i]))
         at = 0
         while at < len(order):
             # Texts of nearly one length share a table, of at most some million cells.
@@ -183,6 +189,43 @@ class PieceModel:
                 at = start
             yield tuple(path[::-1])
 
+    def _long(self, raw: bytes) -> tuple[int, ...]:
+        """Best path of one segment, start by start."""
+        if self._lists is None:
+            self._lists = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.scores.tolist()
+        base, check, value, scores = self._lists
+        n, low = len(raw), float("-inf")
+        best, piece, came = [low] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here = best[i]
+            if here == low:
+                continue
+            lead = raw[i]
+            end = i + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+            single, state = False, 0
+            for d in range(i, n):
+                if not base[state]:
+                    break
+                nxt = base[state] + raw[d]
+                if check[nxt] != state:
+                    break
+                state, v = nxt, value[nxt]
+                if v >= 0:
+                    single |= d + 1 == end
+                    score = here + scores[v]
+                    if score > best[d + 1]:
+                        best[d + 1], piece[d + 1], came[d + 1] = score, v, i
+            if not single and here + self.unknown > best[end]:
+                best[end], piece[end], came[end] = here + self.unknown, -1, i
+        path: list[int] = []
+        at = n
+        while at:
+            start = came[at]
+            path += [piece[at]] if piece[at] >= 0 else self.byte_ids[list(raw[start:at][::-1])].tolist()
+            at = start
+        return tuple(path[::-1])
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; an empty text has none, any other gets a leading marker.
 
@@ -196,7 +239,11 @@ class PieceModel:
         self.known.update(zip(plain, self.encode_segments(plain), strict=True))
         self.known[MARKER] = tuple(self.byte_ids[list(MARKER.encode())].tolist())
         find = self.known.__getitem__
-        return [list(chain.from_iterable(map(find, segments))) for segments in cut]
+        out = [list(chain.from_iterable(map(find, segments))) for segments in cut]
+        for s in plain:
+            if len(s) > LONG // 4:
+                del self.known[s]
+        return out
 
     def decode(self, ids) -> str:
         """The text of `ids`: markers become spaces, runs of byte pieces characters, and the leading marker goes."""
@@ -210,44 +257,38 @@ def model(path: str) -> PieceModel:
     return PieceModel.load(path)
 
 
-def encode(docs: DataFrame, model_path: str = f"{FOLDER}/{MODEL}") -> DataFrame:
-    """`docs` with a column ids (array<int>) from the whole text; null and empty texts have no ids. Other columns stay."""
-    names = docs.columns
+def encode(docs: DataFrame, model_path: str = f"{FOLDER}/{MODEL}", verify: bool = False) -> DataFrame:
+    """`docs` with a column ids (array<int>) from the whole text; null and empty texts have no ids.
+
+    verify: also a column round_trip, whether decoding gives the text again.
+    The new columns take the place of columns of these names.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(text: pa.Array) -> list:
         m = model(model_path)
-        for batch in batches:
-            for a, b in spans.chunks(batch["text"], 1 << 20):
-                own = batch.slice(a, b - a)
-                ids = m.encode([t.as_py() or "" for t in own["text"]])
-                off = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=off[1:])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, off[-1])
-                column = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(own[c] for c in names), column], [*names, "ids"])
+        texts = [t.as_py() or "" for t in text]
+        ids = m.encode(texts)
+        off = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum([len(x) for x in ids], out=off[1:])
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, off[-1])
+        same = [pa.array([m.decode(i) == t for i, t in zip(ids, texts, strict=True)], pa.bool_())] if verify else []
+        return [pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), *same]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, ids array<int>")
+    new = "ids array<int>" + (", round_trip boolean" if verify else "")
+    return rows.spread(rows.added(docs, ["text"], new, run, 1 << 19), docs.columns, rows.names_of(new))
 
 
 def decode(coded: DataFrame, model_path: str = f"{FOLDER}/{MODEL}") -> DataFrame:
-    """`coded` with a column decoded from ids; null ids give null. Other columns stay."""
-    names = coded.columns
+    """`coded` with a column decoded from ids, in place of one of that name; null ids give null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(ids: pa.Array) -> list:
         m = model(model_path)
-        for batch in batches:
-            column = batch["ids"]
-            texts = [m.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in column]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(texts, pa.string())], [*names, "decoded"])
+        return [pa.array([m.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in ids], pa.string())]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
-    return coded.mapInArrow(run, f"{fields}, decoded string")
+    return rows.spread(rows.added(coded, ["ids"], "decoded string", run), coded.columns, ["decoded"])
 
 
 def op3_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives its text again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode(encode(docs))
-    same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
-    return out.select("doc_id", "ids", F.size("ids").alias("n_tokens"), same.alias("round_trip"))
+    return encode(docs, verify=True).select("doc_id", "ids", F.size("ids").alias("n_tokens"), "round_trip")

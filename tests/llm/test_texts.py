@@ -173,6 +173,7 @@ def test_pieces_in_spark(spark):
     out = {r["doc_id"]: r for r in pieces.decode(pieces.encode(df)).collect()}
     assert all(out[d]["decoded"] == (t or "") for d, t in rows) and out[2]["ids"] == []
     assert pieces.decode(pieces.encode(df.limit(0))).count() == 0
+    assert all(r["round_trip"] for r in pieces.encode(df, verify=True).collect())
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>";</script></head><body>
@@ -336,3 +337,27 @@ def test_queries_match_sql(spark, name):
     cols = [c[0] for c in con.description]
     got = [tuple(r[c] for c in cols) for r in QUERIES[name](spark, SF).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+CLASHES = (
+    "key starts n_removed kept_text quality toxicity f fp first component_id ids decoded main_text html_ n_words kept base_failed script band n_tokens x y low high tag "
+    "digest payload size refers_to row start stop y_ label h found count n shard piece bin_id"
+).split()
+
+
+@needs_vocabulary
+def test_clashing_columns(spark):
+    from phasewise.llm import simhash, substring
+
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, long, "en"), (2, "x " + long, "en"), (3, long, None), (None, "null id", "en"), (4, None, "en"), (4, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(c) for c in CLASHES})
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for out in (fertility.keep_good(df), quality.keep_good(df, labels), simhash.keep_one(df), substring.remove_passages(df)):
+        assert out.columns == df.columns
+        assert all(r[c] == c for r in out.collect() for c in CLASHES)
+    assert sorted(r["doc_id"] or 0 for r in substring.remove_passages(df).collect()) == [0, 1, 2, 4, 4]
+    same = pieces.decode(pieces.encode(df)).collect()
+    assert all(r["decoded"] == (r["text"] or "") and r["key"] == "key" for r in same)
+    assert toxicity.scored(df, toxicity.Lexicon({" w1 ": 1.0})).count() == html_text.extract(df.withColumn("html", F.col("text"))).count() == 6
+    assert packing.pack_documents(df).count() == 6 and fertility.judged(df).where("kept is null").count() == 0
