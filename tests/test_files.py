@@ -180,6 +180,22 @@ def test_count_and_imbalance_end_to_end(spark, tmp_path, vcf):
         w.labelled_cells(data["cells"], groups, ["B"])
 
 
+def test_command_line(spark, tmp_path, vcf):
+    from phasewise import cli
+
+    sam, out = tmp_path / "a.sam", tmp_path / "out"
+    sam.write_text("".join(sam_line(f"q{i}", 67, 95, "AAAAA" + "AG"[i % 3 == 0] + "AAAA") for i in range(12)))
+    (tmp_path / "r.bed").write_text("chr1\t50\t150\tpeak\n")
+    (tmp_path / "bc.txt").write_text("x\n")
+    (tmp_path / "map.tsv").write_text("x\tT/1\n")
+    cli.main(["count-variants", str(sam), str(vcf[1]), "--samples", "sample1", "--regions", str(tmp_path / "r.bed"), "--out", f"{out}/counts"])
+    cli.main(["find-imbalance", f"{out}/counts", "--min-count", "1", "--out", f"{out}/imbalance"])
+    assert "peak\t8\t4\t12\t1" in "".join(p.read_text() for p in (out / "imbalance").glob("part-*"))
+    cli.main(["count-variants-sc", str(sam), str(vcf[0]), str(tmp_path / "bc.txt"), "--samples", "sample1", "--regions", str(tmp_path / "r.bed"), "--out", f"{out}/cells"])
+    cli.main(["find-imbalance-sc", f"{out}/cells", str(tmp_path / "map.tsv"), "--min-count", "1", "--out", f"{out}/groups"])
+    assert [p.name for p in (out / "groups").glob("group_=*")] == ["group_=T-1"]
+
+
 def test_make_reads_and_fastq(spark, tmp_path):
     (tmp_path / "p.vcf").write_text(VCF.splitlines()[0] + "\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\nchr1\t100\t.\tA\tG\t.\t.\t.\tGT\t0|1\n")
     (tmp_path / "a.sam").write_text(sam_line("q", 99, 96, "AAAAAAAC") + sam_line("q", 147, 97, "AAAAAACC") + sam_line("z", 99, 500, "AAAA") + sam_line("z", 147, 520, "AAAA"))
