@@ -28,7 +28,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Scripts by the first byte of a character in UTF-8: fixed values of the encoding.
 SCRIPTS = {"latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xCA)], "greek": [(0xCE, 0xCF)], "cyrillic": [(0xD0, 0xD3)], "semitic": [(0xD6, 0xDD)], "indic": [(0xE0, 0xE0)], "asian": [(0xE3, 0xED)]}
 #: Deviations from the median that a band allows, and the least half width as a share of it.
-WIDTH, LEAST = 5.0, 0.1
+WIDTH, LEAST, LEAST_BYTES = 5.0, 0.1, 0.1
 #: Documents that a group needs for bands of its own.
 LEAST_DOCS = 50
 
@@ -142,7 +142,8 @@ def bands(measured: DataFrame, levels: list[Column]) -> DataFrame:
     Every text is in one group of each level; groups of fewer than LEAST_DOCS
     have none. A row for each language or script and length, so few.
     """
-    sound = measured.where(~base_failed()).select(F.explode(F.array(*levels)).alias("band"), *METRICS)
+    # Copies of one text have equal measures and count once, else a large group of them would set the band.
+    sound = measured.where(~base_failed()).select(F.explode(F.array(*levels)).alias("band"), *METRICS).distinct()
     middle = sound.groupBy("band").agg(F.count("*").alias("n"), *[F.percentile_approx(m, 0.5, 2000).alias(f"{m}_mid") for m in METRICS])
     middle = scratch.keep(middle.where(F.col("n") >= LEAST_DOCS), "band-middles")
     off = sound.join(middle, "band").groupBy("band").agg(
@@ -154,7 +155,7 @@ def bands(measured: DataFrame, levels: list[Column]) -> DataFrame:
         "band",
         (F.col("chars_per_token_mid") - half["chars_per_token"]).alias("chars_low"),
         (F.col("chars_per_token_mid") + half["chars_per_token"]).alias("chars_high"),
-        (F.col("byte_share_mid") + F.greatest(half["byte_share"], F.lit(0.05))).alias("byte_high"),
+        (F.col("byte_share_mid") + F.greatest(half["byte_share"], F.lit(LEAST_BYTES))).alias("byte_high"),
         (F.col("token_entropy_mid") - half["token_entropy"]).alias("entropy_low"),
     )
 
@@ -169,10 +170,11 @@ def verdicts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     m = measured
     for i, level in enumerate(levels):
         m = m.withColumn("__band", level).join(limits.select(F.col("band").alias("__band"), F.struct("*").alias(f"__l{i}")), "__band", "left").drop("__band")
-    best = F.coalesce("__l0", "__l1", "__l2")
+    # What is usual at its length or in its language is no fault; all texts stand in where there is neither band.
+    near, wide = F.coalesce("__l0", "__l1", "__l2"), F.coalesce("__l1", "__l0", "__l2")
     outside = (
-        ~F.col("chars_per_token").between(best["chars_low"], best["chars_high"])
-        | (F.col("byte_share") > best["byte_high"])
+        ~F.col("chars_per_token").between(F.least(near["chars_low"], wide["chars_low"]), F.greatest(near["chars_high"], wide["chars_high"]))
+        | (F.col("byte_share") > F.greatest(near["byte_high"], wide["byte_high"]))
         # Entropy rises with length, so bands of all lengths say nothing on it.
         | (F.col("token_entropy") < F.col("__l0")["entropy_low"])
     )
@@ -185,9 +187,10 @@ def judged(docs: DataFrame, vocabulary_path: str = f"{FOLDER}/{VOCABULARY}") ->
     """`docs` with MEASURED, base_failed and kept, which take the place of columns of these names.
 
     `docs` needs text; a lang column, where there is one and it is not null,
-    chooses the bands, else the script does. Where a language and length have
-    too few documents, those of the language hold, else of all texts, without
-    that of entropy; with fewer in all the base rules alone decide. Null and
+    chooses the bands, else the script does. A text fails outside the bands of
+    its language and length and of its language as a whole, or under the entropy
+    usual for its language and length; groups of too few texts have no bands,
+    and those of all texts stand in, but for entropy. Null and
     empty texts fail; no rows give no rows; repeated rows are judged each.
     """
     return rows.spread(verdicts(docs, vocabulary_path), docs.columns, [*rows.names_of(MEASURED), "base_failed", "kept"])
