@@ -7,6 +7,7 @@ own. Tables are Parquet, so a lost executor never takes one with it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,5 +65,15 @@ def clear(spark: SparkSession) -> None:
         drop(spark, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries.
+
+    It does so when the driver's garbage has been collected, which may be long
+    after; asked for between large steps, the disk holds one step's files only.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -175,9 +175,11 @@ class WindowIndex:
         copies = scratch.keep(copies, "copies")
         found = found.join(copies, ["doc_id", "key"], "left_anti")
         candidates = scratch.keep(texts.join(found, ["doc_id", "key"]), "candidates")
+        scratch.release(self.spark)
         windows = _verified(candidates, self.window, self.gram)
         low = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
         low = scratch.keep(low.drop("high"), "first-windows")
+        scratch.release(self.spark)
         hits = windows.join(low, ["w1", "w2"]).where("low < doc_id")
         parts = {"key": F.expr("tag & ~4294967295L"), "start": F.expr("cast(tag & 4294967295L as int)")}
         hits = hits.withColumns(parts).groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
@@ -189,6 +191,7 @@ class WindowIndex:
         for table in (candidates, shared, first, copies, low):
             scratch.forget(table)
         self.compact()
+        scratch.release(self.spark)
         return out
 
 
@@ -202,15 +205,15 @@ def _kept(word_count: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) == 0
 
 
-def rewritten(docs: DataFrame, hits: DataFrame, window: int = WINDOW) -> DataFrame:
+def rewritten(docs: DataFrame, hits: DataFrame, window: int = WINDOW, how: str = "left") -> DataFrame:
     """rows.ROW, n_removed and kept_text of `docs`: the text without the words that `hits` cover.
 
     White space before a kept word stays, so lines stay lines. Without hits the
-    text is unchanged and n_removed is 0.
+    text is unchanged and n_removed is 0; how="inner" leaves such rows out.
     """
     id_key = {"__id": F.col("doc_id").cast("long"), "__key": text_key()}
     found = hits.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("starts").alias("__starts"))
-    left = docs.withColumns(id_key).join(found, ["__id", "__key"], "left").drop("__id", "__key")
+    left = docs.withColumns(id_key).join(found, ["__id", "__key"], how).drop("__id", "__key")
 
     def run(text: pa.Array, starts: pa.Array) -> list:
         removed, texts = np.zeros(len(text), np.int64), []
@@ -289,7 +292,7 @@ def op7_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     hits = duplicate_windows(docs)
     keyed = docs.withColumn("key", text_key())
-    cut = rewritten(keyed.join(hits.select("doc_id", "key"), ["doc_id", "key"], "left_semi"), hits)
+    cut = rewritten(keyed, hits, how="inner")
     cut = cut.select(f"{rows.ROW}.doc_id", f"{rows.ROW}.key", "n_removed", F.sha2(word_line(F.col("kept_text")), 256).alias("sha"))
     touched = cut.dropDuplicates(["doc_id", "key"])
     line = word_line(F.col("text"))
