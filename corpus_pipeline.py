@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasewise.llm import fertility, packing, quality, scratch, simhash, substring
+from phasewise.llm import fertility, packing, quality, scratch, similar, substring
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group."""
+    """The document with the smallest doc_id of each group of texts that share 0.8 of their five-word shingles or more."""
     scratch.clear(spark)
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ neither memory nor rows in the square of its size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,15 +85,24 @@ def rotate(values: np.ndarray, by: int) -> np.ndarray:
 
 
 def trie_forest(
-    values: np.ndarray, rotation: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray, bits: int
+    values: np.ndarray,
+    rotation: np.ndarray,
+    lo: np.ndarray,
+    mid: np.ndarray,
+    hi: np.ndarray,
+    bits: int,
+    labels: np.ndarray | None = None,
+    visit: Callable[[np.ndarray, np.ndarray], None] | None = None,
 ) -> np.ndarray:
     """Component labels of the entries of many tries, joined with themselves.
 
     Each trie is a range lo..hi of `values`, sorted. Where mid < hi the ranges
     lo..mid and mid..hi, each sorted, are two tries to be joined with each other.
+    With `visit`, all near pairs of entries whose `labels` differ are given to it
+    instead, and nothing is merged.
     """
     n, allowed = len(values), budgets(bits)
-    labels = np.arange(n)
+    labels = np.arange(n) if labels is None else labels
     changes = None
     cumulated: dict[int, np.ndarray] = {}
 
@@ -132,7 +141,10 @@ def trie_forest(
             i, j = s0[pair] + cell // width[pair], t0[pair] + cell % width[pair]
             near = np.bitwise_count(values[i] ^ values[j]) <= bits
             near &= labels[i] != labels[j]
-            if near.any():
+            if visit is not None:
+                twice = (s0 == t0)[pair] & (i > j)
+                visit(i[near & ~twice], j[near & ~twice])
+            elif near.any():
                 labels, changes = merge(labels, i[near], j[near]), None
             large = ~small
             a0, a1, b0, b1, err, rot, own = (x[large] for x in (a0, a1, b0, b1, err, rot, own))
@@ -179,16 +191,15 @@ def _forest_of(table: pa.Table, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
 
-def links(fps: DataFrame, bits: int = 4, trie_rows: int = TRIE_ROWS) -> DataFrame:
-    """Spanning links (a, b) of the distinct fingerprints `fps` (fp long) that differ in at most `bits` bits."""
-    spark = fps.sparkSession
+def turned(fps: DataFrame, bits: int, more: list[str], trie_rows: int = TRIE_ROWS) -> DataFrame:
+    """(trie, rot, side, value and the columns `more`): `fps` (fp long) as entries of the tries that they meet in."""
     widths = blocks(bits)
     offsets = [sum(widths[:r]) for r in range(len(widths))]
-    turned = []
+    ways = []
     for r, (off, width) in enumerate(zip(offsets, widths, strict=True)):
         value = F.col("fp") if not off else F.expr(f"shiftleft(fp, {off}) | shiftrightunsigned(fp, {64 - off})")
-        turned.append(F.struct(F.lit(r).cast("byte").alias("rot"), value.alias("value"), F.shiftrightunsigned(value, 64 - width).alias("head")))
-    rows = fps.select(F.explode(F.array(*turned)).alias("x")).select("x.*")
+        ways.append(F.struct(F.lit(r).cast("byte").alias("rot"), value.alias("value"), F.shiftrightunsigned(value, 64 - width).alias("head")))
+    rows = fps.select(*more, F.explode(F.array(*ways)).alias("x")).select(*more, "x.*")
     hot = rows.groupBy("rot", "head").count().where(F.col("count") > trie_rows)
     hot = scratch.keep(hot.select("rot", "head", F.ceil(F.col("count") / trie_rows).cast("int").alias("c")), "hot-tries")
     if hot.isEmpty():
@@ -200,8 +211,14 @@ def links(fps: DataFrame, bits: int = 4, trie_rows: int = TRIE_ROWS) -> DataFram
             rows.join(hot, ["rot", "head"], "left")
             .withColumn("x", own)
             .withColumn("y", F.explode(F.sequence(F.lit(0), F.coalesce("c", F.lit(1)) - 1)))
-            .select("rot", "value", "head", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("byte").alias("side"))
+            .select(*more, "rot", "value", "head", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("byte").alias("side"))
         )
+    trie = F.xxhash64("rot", "head", "i", "j").alias("trie")
+    return rows.select(trie, "rot", "side", "value", *more)
+
+
+def links(fps: DataFrame, bits: int = 4, trie_rows: int = TRIE_ROWS) -> DataFrame:
+    """Spanning links (a, b) of the distinct fingerprints `fps` (fp long) that differ in at most `bits` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -220,8 +237,7 @@ def links(fps: DataFrame, bits: int = 4, trie_rows: int = TRIE_ROWS) -> DataFram
         if n:
             yield _forest_of(pa.Table.from_batches(waiting), bits)
 
-    trie = F.xxhash64("rot", "head", "i", "j").alias("trie")
-    dealt = rows.select(trie, "rot", "side", "value").repartition(scratch.partitions(spark), "trie")
+    dealt = turned(fps, bits, [], trie_rows).repartition(scratch.partitions(fps.sparkSession), "trie")
     return dealt.sortWithinPartitions("trie").mapInArrow(run, "a long, b long")
 
 
