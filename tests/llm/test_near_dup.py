@@ -223,3 +223,22 @@ def test_neighbours_of_few_and_none(spark):
     got = [tuple(r) for r in neighbours.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
     assert neighbours.nearest(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_descent_and_search_end_when_nothing_gets_better(spark):
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=(3000, 24))
+    e /= np.linalg.norm(e, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "vec_id long, embedding array<double>")
+    # A narrow graph from two deals: two rounds of descent and five of search leave many neighbours out.
+    narrow = neighbours.Settings(degree=10, trees=2, leaf=32, reverse=10, beam=160, expand=8)
+    out = neighbours.nearest(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 10, narrow).collect()
+    sims = e[::50] @ e.T
+    sims[np.arange(60), np.arange(60) * 50] = -9
+    true = {(50 * q, int(v)) for q in range(60) for v in np.argsort(-sims[q])[:10]}
+    assert len(true & {(r["query_id"], r["vec_id"]) for r in out}) / len(true) > 0.9
+
+
+def test_deals_and_beam_grow_with_the_table():
+    small, large = (neighbours.sized(neighbours.Settings(), n) for n in (1000, 1_000_000))
+    assert small == neighbours.Settings() and large.trees > 8 and large.beam > 1000
