@@ -38,6 +38,8 @@ MARKS = frozenset(
     "footer masthead cookie cookies consent notice notices alert newsletter subscribe subscription signup popup modal overlay comment comments "
     "respond replies disqus share sharing social related recommended pagination pager toolbar widget complementary contentinfo search login".split()
 )
+#: Elements that a head may hold; any other, or text, ends it.
+IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
 CONTAINERS = frozenset("article main".split())
 #: A start tag of the key ends open elements of these names.
 ENDS = {
@@ -50,12 +52,13 @@ _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 
 
 class LineParser(HTMLParser):
-    """Collects (text, tags, boilerplate, region, in an article) of every line."""
+    """Collects (text, tags, boilerplate, region, in an article, marked wrappers of the article) of every line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, bool]] = []
-        self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+        self.lines: list[tuple[str, int, bool, int, bool, int]] = []
+        #: Name, dropped, region, in an article, marked elements, and how many of these are around the article.
+        self.open: list[tuple[str, bool, int, bool, int, int]] = [("", False, 0, False, 0, 0)]
         self.counts: dict[str, int] = {}
         self.text: list[str] = []
         self.tags = 0
@@ -64,8 +67,8 @@ class LineParser(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, dropped, region, inside = self.open[-1]
-            self.lines.append((text, self.tags, dropped, region, inside))
+            _, dropped, region, inside, marks, around = self.open[-1]
+            self.lines.append((text, self.tags, dropped or marks > around, region, inside, around))
         self.text.clear()
         self.tags = 0
 
@@ -76,8 +79,14 @@ class LineParser(HTMLParser):
             if name == tag:
                 return
 
+    def end_head(self) -> None:
+        self.end_line()
+        self.pop_to("head")
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCK
+        if self.counts.get("head") and (tag == "body" or self.open[-1][0] == "head" and tag not in IN_HEAD):
+            self.end_head()
         if block:
             self.end_line()
             if tag not in ("html", "body") and self.counts.get("p"):
@@ -94,28 +103,26 @@ class LineParser(HTMLParser):
             if tag == "br":
                 self.text.append(" ")
             return
-        _, dropped, region, inside = self.open[-1]
-        if not dropped:
-            dropped = tag in DROPPED or (tag == "header" and not inside) or self.marked(tag, attrs)
+        _, dropped, region, inside, marks, around = self.open[-1]
+        dropped = dropped or tag in DROPPED or (tag == "header" and not inside)
+        if tag not in ("html", "body") and (inside or tag not in CONTAINERS):
+            dropped = dropped or self.hidden(attrs)
+            marks += self.marked(attrs)
         if tag in CONTAINERS and not inside:
-            inside, block = True, True
+            inside, block, around = True, True, marks
             self.regions += 1
             region = self.regions
         elif block and not inside and tag in ("div", "section", "td", "body", "center"):
             self.regions += 1
             region = self.regions
-        self.open.append((tag, dropped, region, inside))
+        self.open.append((tag, dropped, region, inside, marks, around))
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
-    def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in ("html", "body") or tag in CONTAINERS and not self.open[-1][3]:
-            return False
-        for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name in ("class", "id", "role") and value and not MARKS.isdisjoint(_SPLIT.split(value.lower())):
-                return True
-        return False
+    def hidden(self, attrs: list[tuple[str, str | None]]) -> bool:
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
+
+    def marked(self, attrs: list[tuple[str, str | None]]) -> bool:
+        return any(name in ("class", "id", "role") and value and not MARKS.isdisjoint(_SPLIT.split(value.lower())) for name, value in attrs)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -130,12 +137,30 @@ class LineParser(HTMLParser):
             self.pop_to(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1][0] == "head" and data.strip():
+            self.end_head()
         self.text.append(data)
 
     def finish(self) -> list[tuple[str, int, bool, int, bool]]:
         self.close()
         self.end_line()
-        return self.lines
+        return unwrapped(self.lines)
+
+
+def unwrapped(lines: list[tuple[str, int, bool, int, bool, int]]) -> list[tuple[str, int, bool, int, bool]]:
+    """`lines` without the last field; articles within marked wrappers stay only where they are the page's content.
+
+    That is where no article is without such a wrapper and those with the
+    fewest have more text than what is outside of all wrappers.
+    """
+    size: dict[int, int] = {}
+    for text, _, dropped, _, inside, around in lines:
+        if not dropped and (inside or not around):
+            size[around] = size.get(around, 0) + len(text)
+    free = any(x[4] and not x[2] and not x[5] for x in lines)
+    least = min((x for x in size if x), default=0)
+    level = least if not free and size.get(least, 0) > size.get(0, 0) else 0
+    return [(text, tags, dropped or inside and around != level, region, inside) for text, tags, dropped, region, inside, around in lines]
 
 
 def main_text(html: str | None) -> str:

@@ -361,3 +361,22 @@ def test_clashing_columns(spark):
     assert all(r["decoded"] == (r["text"] or "") and r["key"] == "key" for r in same)
     assert toxicity.scored(df, toxicity.Lexicon({" w1 ": 1.0})).count() == html_text.extract(df.withColumn("html", F.col("text"))).count() == 6
     assert packing.pack_documents(df).count() == 6 and fertility.judged(df).where("kept is null").count() == 0
+
+
+def test_main_text_without_end_of_head():
+    text = "Long text of the article. " * 10
+    for head in ("<html><head><title>t</title><body>", "<head><title>t</title>", "<head><title>t</title><meta charset=utf-8><body>"):
+        assert html_text.main_text(f"{head}<article><p>{text}</p></article>") == text.strip()
+    assert html_text.main_text("<head><title>t</title>Text at once") == "Text at once"
+    assert html_text.main_text("<head><template><div>x</div></template><title>t</title></head><p>y") == "y"
+
+
+def test_main_text_in_a_marked_wrapper():
+    text, plain, reply = "Long text of the article. " * 10, "Plain words of the page. " * 10, "I reply at length. " * 5
+    comments = f"<div class=comments><article><p>{reply}</p></article></div>"
+    wrapped = f"<div class='layout has-sidebar'><article><p>{text}</p><p class=share>x</p></article>{comments}<p>y</p></div>"
+    assert html_text.main_text(wrapped) == text.strip()
+    assert html_text.main_text(wrapped.replace("article", "main", 1).replace("</article>", "</main>", 1)) == text.strip()
+    assert html_text.main_text(f"<article><p>{text}</p></article>{comments}") == text.strip()
+    assert html_text.main_text(f"<div><p>{plain}</p></div>{comments}") == plain.strip()
+    assert html_text.main_text(f"<div hidden><article>{text}</article></div>") == ""
