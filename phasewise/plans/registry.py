@@ -502,7 +502,9 @@ WITH {A.COUNTS_SQL} SELECT chrom || ':' || CAST(pos AS VARCHAR) || ':A>G' AS snp
   CASE WHEN pos % 2 = 0 AND pos % 3 = 0 THEN ref_count ELSE alt_count END AS hap2 FROM counts""")
 def haplotype_layers(spark, sf_dir):
     c = A.counts(spark, sf_dir)
-    phases = c.where("pos % 2 = 0").select(C.snp_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("snp_id"), F.col("GT").alias("gt"))
+    # Every variant has a phase; that of odd positions is the default one.
+    gt = F.when(F.col("pos") % 2 == 0, F.col("GT")).otherwise("0|1")
+    phases = c.select(C.snp_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("snp_id"), gt.alias("gt"))
     return expression.haplotype_layers(c, phases).select("snp_id", "hap1", "hap2")
 
 

@@ -44,3 +44,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 200
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_haplotype_layers_takes_every_variant(spark, monkeypatch):
+    from phasewise.plans.registry import expression
+
+    seen, layers = [], expression.haplotype_layers
+    monkeypatch.setattr(expression, "haplotype_layers", lambda c, p: seen.append((c.count(), p.count())) or layers(c, p))
+    QUERIES["haplotype_layers"](spark, SF)
+    assert seen[0][0] == seen[0][1] > 0
