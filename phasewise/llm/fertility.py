@@ -73,17 +73,12 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     for i in range(n):
         lines = [x for x in raw[off[i] : off[i + 1]].split(b"\n") if x.strip()]
         dup[i] = len(lines) - len(set(lines))
-    word = spans.word_hashes(data, starts, ends)
-    gram, whole = spans.gram_hashes(word, rows, 3)
-    covered = np.zeros(len(word), bool)
+    gram, whole = spans.gram_codes(spans.codes(data, starts, ends)[0], rows, 3)
+    covered = np.zeros(len(rows), bool)
     if len(gram):
         at = np.flatnonzero(whole)
-        key = spans.mix(gram[at] + rows[at].astype(spans.U) * spans.U(spans.BASES[1]))
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        twice = np.zeros(len(at), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
+        # The row of a gram is part of its number.
+        twice = np.bincount(gram[at], minlength=1)[gram[at]] > 1
         for k in range(3):
             covered[at[twice] + k] = True
     return n_words, _per_row(chars, off), _per_row(_SYMBOL[data], off), dup, np.bincount(rows[covered], minlength=n)

@@ -61,6 +61,14 @@ def shape_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return (h >> spans.U(40)).astype(np.int64) % SHAPES
 
 
+def _distinct(code: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Different codes in each of n rows."""
+    if not len(code):
+        return np.zeros(n, np.int64)
+    wide = int(code.max()) + 1
+    return np.bincount(np.unique(rows * wide + code) // wide, minlength=n)
+
+
 def _sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of `values` by `rows`, which rise."""
     out = np.zeros((n, values.shape[1]), np.float64)
@@ -98,16 +106,11 @@ def document_vectors(column: pa.Array, table: np.ndarray) -> np.ndarray:
         shape = shape_places(data, starts, ends)
         seen, where = np.unique(shape, return_inverse=True)
         histogram = np.bincount(rows * len(seen) + where, minlength=n * len(seen)).reshape(n, len(seen)) if len(seen) else np.zeros((n, 0))
-        order = np.lexsort((h, rows))
-        new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (rows[order][1:] != rows[order][:-1])
-        distinct = np.bincount(rows[order][new], minlength=n)
-        gram, whole = spans.gram_hashes(h, rows, 3)
-        g_rows, gram = rows[: len(gram)][whole], gram[whole]
-        order = np.lexsort((gram, g_rows))
-        new = np.ones(len(order), bool)
-        new[1:] = (gram[order][1:] != gram[order][:-1]) | (g_rows[order][1:] != g_rows[order][:-1])
-        grams = np.bincount(g_rows[order][new], minlength=n) / np.maximum(np.bincount(g_rows, minlength=n), 1)
+        code, _ = spans.codes(data, starts, ends)
+        distinct = _distinct(code, rows, n)
+        gram, whole = spans.gram_codes(code, rows, 3)
+        g_rows = rows[: len(gram)][whole]
+        grams = _distinct(gram[whole], g_rows, n) / np.maximum(np.bincount(g_rows, minlength=n), 1)
         chars = np.diff(off)
         lines = np.diff(np.concatenate(([0], np.cumsum(data == 10)))[off])
         extra = np.column_stack([np.log1p(count), distinct / some[:, 0], grams, chars / some[:, 0] / 8, np.log1p(lines), count == 0])

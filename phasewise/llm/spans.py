@@ -1,7 +1,9 @@
-"""Words and rolling hashes of whole Arrow text columns, without loops over words.
+"""Words, their numbers and rolling hashes of whole Arrow text columns, without loops over words.
 
 A word is a run of code points other than U+0020 and U+0009..U+000D. All of
 these are single bytes in UTF-8, so everything works on the column's bytes.
+Words are told apart by their bytes (codes()). Hashes of several words only
+choose and place; what must be exact compares codes or digests of the words.
 """
 
 from __future__ import annotations
@@ -9,13 +11,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Odd multipliers; each is a stream of hashes independent of the other's.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Odd multiplier of the rolling hash.
+BASE = 0x9E3779B97F4A7C15
+SEED = 42
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -82,25 +87,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of each values[start:end]."""
-    total = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values * powers(base, len(values)), out=total[1:])
-    return (total[ends] - total[starts]) * powers(base, len(values) + 1, inverse=True)[starts]
+def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Number of each word among the distinct words of `data`, compared by their bytes, and these words."""
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    off = np.concatenate(([0], np.cumsum(ends - starts)))
+    plain = data[~_IS_SPACE[data]]
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(plain)])
+    found = column.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 of each word."""
+    code, distinct = codes(data, starts, ends)
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), U, len(distinct))[code]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    h = rolling(data.astype(U) + U(1), starts, ends, base)
-    return mix(h + (ends - starts).astype(U) * U(base))
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of `data` with one space between those of a row, and where each now starts and ends."""
+    space = _IS_SPACE[data]
+    stays = ~space
+    behind = ends[ends < len(data)]
+    stays[behind] = True
+    at = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(stays, out=at[1:])
+    return np.where(space, np.uint8(0x20), data)[stays].tobytes(), at[starts], at[ends]
 
 
-def gram_hashes(word: np.ndarray, rows: np.ndarray, k: int, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
+def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each values[start:end]. Modulo 2**64, so unequal sequences may well share one."""
+    total = np.zeros(len(values) + 1, dtype=U)
+    np.cumsum(values * powers(BASE, len(values)), out=total[1:])
+    return (total[ends] - total[starts]) * powers(BASE, len(values) + 1, inverse=True)[starts]
+
+
+def gram_hashes(word: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the k words from each word on, and whether they lie in one row."""
     n = len(word) - k + 1
     if n <= 0:
         return np.zeros(0, U), np.zeros(0, bool)
     at = np.arange(n)
-    return mix(rolling(word, at, at + k, base)), rows[:n] == rows[k - 1 :]
+    return mix(rolling(word, at, at + k)), rows[:n] == rows[k - 1 :]
+
+
+def gram_codes(code: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact number of the k words from each word on (equal for equal words in one row), and whether they lie in one row."""
+    n = len(code) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    gram = rows[:n]
+    for i in range(k):
+        # Both numbers are below the number of words, so the pair's fits.
+        gram = pd.factorize(gram * (int(code.max()) + 1) + code[i : i + n])[0]
+    return gram, rows[:n] == rows[k - 1 :]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

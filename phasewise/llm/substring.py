@@ -5,13 +5,15 @@ document, those that are the smallest of some window of `window` words are kept
 ("Winnowing", Schleimer et al.): two equal windows always keep the same one, so
 a few per cent of the hashes find every shared window. A batch's kept hashes
 become an immutable run sorted by hash. The new batch is merge-joined with the
-runs; windows around hashes that several documents have are verified on the
-texts by 96 bits of two independent hashes of the whole window. Runs of one
-level are merged into one run of the next once there are `fanout` of them.
+runs; the words of the windows around hashes that several documents have are
+compared by 128-bit BLAKE2b digests of their texts, so no rolling hash decides
+what goes. Runs of one level are merged into one run of the next once there are
+`fanout` of them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,10 @@ from . import rows, scratch, spans
 
 WINDOW = 50
 GRAM = 12
+#: Batches that a whole table is fed in, and runs of a level that are merged: two levels fill.
+BATCHES, FANOUT = 4, 2
+#: Windows in a batch of digests.
+DIGESTS = 1 << 16
 
 
 def _windows(word: np.ndarray, rows: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,14 +67,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def text_key():
-    """Tells apart the texts of rows that share a doc_id; the lower half is free for a word index."""
-    return F.shiftleft(F.shiftright(F.xxhash64("text"), 32), 32)
+    """Tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64("text")
 
 
 def _verified(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """(w1, w2, doc_id, tag): windows of `candidates` (doc_id, key, text, found) whose kept hash is in found.
+    """(w1, w2, doc_id, key, start): windows of `candidates` (doc_id, key, text, found) whose kept hash is in found.
 
-    tag is key and the word the window starts at.
+    w1 and w2 are the digest of the window's words joined by spaces, start is the word it starts at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,23 +83,25 @@ def _verified(candidates: DataFrame, window: int, gram: int) -> DataFrame:
             for a, b in spans.chunks(batch["text"]):
                 data, off = spans.buffers(batch["text"].slice(a, b - a))
                 starts, ends, rows = spans.words(data, off)
-                word = spans.word_hashes(data, starts, ends)
-                low, whole = _windows(word, rows, window, gram)
+                low, whole = _windows(spans.word_hashes(data, starts, ends), rows, window, gram)
                 mine = found.slice(a, b - a)
                 owner = np.repeat(np.arange(b - a), mine.value_lengths().fill_null(0).to_numpy())
                 wanted = spans.mix(mine.flatten().to_numpy().view(spans.U)) + owner.astype(spans.U)
                 here = np.isin(spans.mix(low) + rows[: len(low)].astype(spans.U), wanted) & whole
-                at = np.flatnonzero(here)
-                w1 = spans.mix(spans.rolling(word, at, at + window, spans.BASES[0]))
-                again = spans.word_hashes(data, starts, ends, spans.BASES[1])
-                w2 = spans.mix(spans.rolling(again, at, at + window, spans.BASES[1]))
-                row = a + rows[at]
+                line, begin, end = spans.joined(data, starts, ends)
                 first = np.searchsorted(rows, np.arange(b - a))
-                tag = keys[row] | (at - first[rows[at]])
-                cols = [w1.view(np.int64), (w2 >> spans.U(32)).astype(np.uint32).view(np.int32), ids[row], tag]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["w1", "w2", "doc_id", "tag"])
+                every = np.flatnonzero(here)
+                for i in range(0, len(every), DIGESTS):
+                    at = every[i : i + DIGESTS]
+                    cuts = zip(begin[at].tolist(), end[at + window - 1].tolist(), strict=True)
+                    w = b"".join(hashlib.blake2b(line[s:e], digest_size=16).digest() for s, e in cuts)
+                    w = np.frombuffer(w, np.int64).reshape(-1, 2)
+                    row = a + rows[at]
+                    cols = [w[:, 0].copy(), w[:, 1].copy(), ids[row], keys[row], (at - first[rows[at]]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["w1", "w2", "doc_id", "key", "start"])
 
-    return candidates.select("doc_id", "key", "text", "found").mapInArrow(run, "w1 long, w2 int, doc_id long, tag long")
+    narrow = candidates.select("doc_id", "key", "text", "found")
+    return narrow.mapInArrow(run, "w1 long, w2 long, doc_id long, key long, start int")
 
 
 class WindowIndex:
@@ -103,7 +111,7 @@ class WindowIndex:
     those that share a hash with the batch are read from it again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, fanout: int = 4):
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
         self.spark, self.path, self.window, self.gram, self.fanout = spark, path.rstrip("/"), window, gram, fanout
 
     def _fs(self):
@@ -168,27 +176,27 @@ class WindowIndex:
         found = rows.join(shared.hint("merge"), "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("h").alias("found"))
         texts = _keyed(texts).select("doc_id", "key", "text")
         # Of equal texts only the first one's windows count for others; all windows of a later one are in the first.
-        whole = texts.withColumns({"x": F.xxhash64("text"), "y": F.hash("text")}).select("doc_id", "key", "x", "y")
-        first = whole.groupBy("x", "y").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-        first = scratch.keep(first.select("x", "y", "low"), "first-copies")
-        copies = whole.join(first, ["x", "y"]).where("low < doc_id").select("doc_id", "key")
+        whole = texts.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha"))
+        first = whole.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+        first = scratch.keep(first.select("sha", "low"), "first-copies")
+        copies = whole.join(first, "sha").where("low < doc_id").select("doc_id", "key")
         copies = scratch.keep(copies, "copies")
         found = found.join(copies, ["doc_id", "key"], "left_anti")
         candidates = scratch.keep(texts.join(found, ["doc_id", "key"]), "candidates")
         scratch.release(self.spark)
-        windows = _verified(candidates, self.window, self.gram)
+        windows = scratch.keep(_verified(candidates, self.window, self.gram), "windows")
+        scratch.forget(candidates)
         low = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
         low = scratch.keep(low.drop("high"), "first-windows")
         scratch.release(self.spark)
         hits = windows.join(low, ["w1", "w2"]).where("low < doc_id")
-        parts = {"key": F.expr("tag & ~4294967295L"), "start": F.expr("cast(tag & 4294967295L as int)")}
-        hits = hits.withColumns(parts).groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
+        hits = hits.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
         hits = hits.union(copies.select("doc_id", "key", F.array(F.lit(-1)).alias("starts")).distinct())
         if old is not None:
             mine = own.select("doc_id", "key").distinct()
             hits = hits.join(mine, ["doc_id", "key"], "left_semi")
         out = scratch.keep(hits, "hits")
-        for table in (candidates, shared, first, copies, low):
+        for table in (windows, shared, first, copies, low):
             scratch.forget(table)
         self.compact()
         scratch.release(self.spark)
@@ -211,9 +219,9 @@ def rewritten(docs: DataFrame, hits: DataFrame, window: int = WINDOW, how: str =
     White space before a kept word stays, so lines stay lines. Without hits the
     text is unchanged and n_removed is 0; how="inner" leaves such rows out.
     """
-    id_key = {"__id": F.col("doc_id").cast("long"), "__key": text_key()}
-    found = hits.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("starts").alias("__starts"))
-    left = docs.withColumns(id_key).join(found, ["__id", "__key"], how).drop("__id", "__key")
+    row = F.col(rows.ROW)
+    whole = rows.packed(docs).withColumns({"id": row["doc_id"].cast("long"), "key": F.xxhash64(row["text"])})
+    left = whole.join(hits.withColumnRenamed("doc_id", "id"), ["id", "key"], how)
 
     def run(text: pa.Array, starts: pa.Array) -> list:
         removed, texts = np.zeros(len(text), np.int64), []
@@ -233,7 +241,7 @@ def rewritten(docs: DataFrame, hits: DataFrame, window: int = WINDOW, how: str =
             texts.append(raw[np.cumsum(edge[:-1]) == 0].tobytes().decode().lstrip(" \t\n\v\f\r"))
         return [removed, pa.array(texts, pa.string())]
 
-    return rows.added(left, ["text", "__starts"], "n_removed long, kept_text string", run)
+    return rows.mapped(left, ["text"], ["starts"], "n_removed long, kept_text string", run)
 
 
 def word_line(text) -> F.Column:
@@ -246,14 +254,16 @@ def word_count(line):
     return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> DataFrame:
+def duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """(doc_id, key, starts) for a whole table: it passes through an index in `batches` of rising doc_id.
 
     As the batches rise, every window of a smaller doc_id is in the index or in
-    the batch itself, so the result does not depend on their number.
+    the batch itself, so the result does not depend on their number. A batch is
+    about as large as all before it, so all reading of history together is less
+    than one more reading of the table.
     """
     spark = docs.sparkSession
-    shares = [i / batches for i in range(1, batches)]
+    shares = [2.0 ** (i - batches) for i in range(1, batches)]
     cuts = docs.where("doc_id is not null").approxQuantile("doc_id", shares, 0.01) if shares else []
     index = WindowIndex(spark, scratch.new_path(spark, "window-index"), window, gram)
     out, low = None, None
@@ -266,12 +276,14 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, b
     return out
 
 
-def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> DataFrame:
+def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """`docs` without the passages; n_chars follows the text.
 
     Documents without a word left are dropped if words were removed from them.
     Rows with a null doc_id or text pass unchanged, as do repeated rows of one
-    doc_id, which are never held against each other. Other columns stay.
+    doc_id, which are never held against each other. Other columns stay,
+    whatever their names. Texts of fewer than `window` words lose nothing, very
+    long ones are read whole; no rows give no rows.
     """
     hits = duplicate_windows(docs, window, gram, batches)
     out = rewritten(docs, hits, window)
@@ -286,8 +298,10 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
 def op7_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what removal leaves of every document.
 
-    A null text has no words; no rows give no rows; repeated rows get the same
-    result each.
+    A null or empty text has no words; a null doc_id loses none; no rows give no
+    rows; repeated rows get the same result each; of equal windows that with the
+    smallest doc_id stays, and windows that only rows of one doc_id share stay
+    too. Very long texts are read whole.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     hits = duplicate_windows(docs)

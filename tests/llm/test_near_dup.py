@@ -176,6 +176,56 @@ def test_query_digests(spark, tmp_path):
         assert got[d]["n_removed"] == n and got[d]["kept_sha256"] == hashlib.sha256(" ".join(ws).encode()).hexdigest()
 
 
+def thue_morse(n, a, b):
+    """The first n letters of the sequence; it and its complement share every polynomial hash modulo 2**64 for n = 2**k, k > 10."""
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_that_defeat_rolling_hashes(spark, tmp_path, size):
+    import duckdb
+
+    one, other = thue_morse(size, "a", "b"), thue_morse(size, "b", "a")
+    same = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*same, one])), (2, " ".join([*same, other])), (3, " ".join(["x", *same, one])), (4, " ".join(same * 2 + [other]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = substring.op7_window_index(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {1: 0, 2: 0, 3: 50, 4: 50}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(substring.ORACLE_SQL["op7_window_index"]).fetchall()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == sorted(want)
+
+
+def test_windows_of_words_that_defeat_rolling_hashes(spark):
+    # Sequences of two words, in the order of the sequence and of its complement.
+    one, other = (thue_morse(2048, *x).replace("", " ").split() for x in ("ab", "ba"))
+    df = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(other))], "doc_id long, text string")
+    want = {d: n for d, _, n in plain_removal([(1, " ".join(one)), (2, " ".join(other))], 1100)}
+    got = substring.rewritten(df, substring.duplicate_windows(df, 1100), 1100).select("__row.doc_id", "n_removed").collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == want
+
+
+def test_a_table_goes_through_two_levels(spark, monkeypatch):
+    levels = []
+    write = substring.WindowIndex._write
+    monkeypatch.setattr(substring.WindowIndex, "_write", lambda self, rows, name: levels.append(name.split("-")[0]) or write(self, rows, name))
+    rows = passages(random.Random(2))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    substring.duplicate_windows(df, 10, 4)
+    assert levels.count("0") == substring.BATCHES and levels.count("1") == 2 and levels.count("2") == 1
+
+
+def test_substring_of_very_long_texts(spark):
+    long = " ".join(f"w{i % 997}{i % 31}" for i in range(150_000))
+    rows = [(1, long), (2, "head " + long), (3, " " * 1_000_000 + "few words"), (4, "x" * 1_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("__id", "__key", "__starts", "__row")})
+    out = substring.remove_passages(df)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[2]["text"] == "head" and got[1]["text"] == long and len(got[3]["text"]) == 1_000_009 and got[4]["__starts"] == "__starts"
+
+
 def test_words_and_hashes():
     import pyarrow as pa
 

@@ -39,6 +39,15 @@ def test_base_counts(texts):
     assert [tuple(int(c[i]) for c in got) for i in range(len(texts))] == [plain_counts(t) for t in texts]
 
 
+def test_base_counts_of_words_that_defeat_rolling_hashes():
+    import pyarrow as pa
+
+    letters = ["".join(("ab" if bin(i).count("1") % 2 == k else "ba")[0] for i in range(2048)) for k in (0, 1)]
+    texts = [f"x {letters[0]} y x {letters[1]} y", f"x {letters[0]} y x {letters[0]} y"]
+    got = fertility.base_counts(*spans.buffers(pa.array(texts)))
+    assert [tuple(int(c[i]) for c in got) for i in range(2)] == [plain_counts(t) for t in texts] and got[4].tolist() == [0, 6]
+
+
 @needs_vocabulary
 def test_token_metrics():
     texts = ["the the the", "", "日本 語", "hello world, hello"]
