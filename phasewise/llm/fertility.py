@@ -1,17 +1,21 @@
-"""Quality rules from what a public vocabulary makes of a text.
-
-Beside a few base counts, every text is encoded whole; characters per token,
-the share of tokens that are pieces of a character (byte fallback) and the
-entropy of its tokens are held against bands of its language, or of its script
-where no language is given. As entropy rises with length, each doubling of the
-length has bands of its own. The bands are medians of the corpus and multiples
-of the median deviation from them.
+"""Quality rules from what public vocabularies make of a text.
+
+Beside a few base counts, every text is encoded whole with each vocabulary;
+characters per token, the share of tokens that stand for bytes or parts of a
+character (byte fallback) and the entropy of its tokens are held against bands
+of its language, or of its script where no language is given, and its length
+(doublings of the tokens). A band is a median of the corpus and multiples of
+the median deviation from it. The medians of a group count with its texts, those
+of the wider group with PRIOR more, so groups of any size have bands and none
+starts or ends at a certain size. The wider group of a language's length is the
+language and then the corpus; for entropy, which rises with length, it is that
+length in all languages, and then the shorter ones. A text goes if it is outside
+of its bands for VOTES of the vocabularies.
 """
 
 from __future__ import annotations
 
-import base64
-from functools import lru_cache
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,37 +23,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rows, scratch, spans
+from .vocabularies import FOLDER, VOCABULARIES, vocabulary
 
-#: Names of the vocabulary files in the folder of public tokenizers.
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-FOLDER = "/opt/tokenizers"
-#: The usual split of byte-level BPE, a fixed value of the published vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Scripts by the first byte of a character in UTF-8: fixed values of the encoding.
 SCRIPTS = {"latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xCA)], "greek": [(0xCE, 0xCF)], "cyrillic": [(0xD0, 0xD3)], "semitic": [(0xD6, 0xDD)], "indic": [(0xE0, 0xE0)], "asian": [(0xE3, 0xED)]}
-#: Deviations from the median that a band allows, and the least half width as a share of it.
-WIDTH, LEAST, LEAST_BYTES = 5.0, 0.1, 0.1
-#: Documents that a group needs for bands of its own.
-LEAST_DOCS = 50
+#: Deviations from the median that a band allows, and the least half width: a share of the median, and a share of bytes.
+WIDTH, LEAST, LEAST_BYTES = 4.0, 0.05, 0.05
+#: Texts that a wider group's median counts for, and vocabularies that must find a text odd.
+PRIOR, VOTES = 50.0, 2
 
 METRICS = ("chars_per_token", "byte_share", "token_entropy")
-MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string"
-
-
-@lru_cache(maxsize=4)
-def vocabulary(path: str):
-    """The encoding, and which of its tokens are not whole characters."""
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    part = np.zeros(max(ranks.values()) + 1, bool)
-    for piece, rank in ranks.items():
-        try:
-            piece.decode()
-        except UnicodeDecodeError:
-            part[rank] = True
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), part
+MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens array<long>, chars_per_token array<double>, byte_share array<double>, token_entropy array<double>, script string"
+PATHS = tuple(f"{FOLDER}/{x}" for x in VOCABULARIES)
 
 
 def _per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -97,32 +82,28 @@ def script_of(data: np.ndarray, off: np.ndarray) -> list[str]:
 
 
 def token_metrics(texts: list[str], path: str) -> tuple[np.ndarray, ...]:
-    """Tokens, characters per token, share of part characters and entropy in bits."""
-    encoding, part = vocabulary(path)
-    ids = [encoding.encode_ordinary(t) for t in texts]
-    n = np.array([len(x) for x in ids], np.int64)
-    row = np.repeat(np.arange(len(texts)), n)
-    flat = np.concatenate([np.array(x, np.int64) for x in ids]) if n.sum() else np.zeros(0, np.int64)
-    some = np.maximum(n, 1)
-    chars = np.array([len(t) for t in texts]) / some
-    share = np.bincount(row[part[flat]], minlength=len(texts)) / some
-    key = np.sort((row << 20) | flat)
-    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(new, len(key)))
-    owner = key[new] >> 20
-    p = count / some[owner]
-    # Without any token numpy counts in whole numbers.
-    entropy = np.bincount(owner, weights=-p * np.log2(p), minlength=len(texts)).astype(float)
+    """Tokens, characters per token, share of byte tokens and entropy in bits."""
+    v = vocabulary(path)
+    n, chars, share, entropy = np.zeros(len(texts), np.int64), *(np.zeros(len(texts)) for _ in METRICS)
+    for i, text in enumerate(texts):
+        ids = v.encode(text)
+        n[i] = len(ids)
+        if len(ids):
+            count = np.bincount(ids)
+            p = count[count > 0] / len(ids)
+            chars[i], share[i], entropy[i] = len(text) / len(ids), v.part[ids].mean(), -(p * np.log2(p)).sum()
     return n, chars, share, entropy
 
 
-def measure(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """rows.ROW and the columns MEASURED; a null text counts as empty."""
+def measure(docs: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """rows.ROW and the columns MEASURED, arrays with an entry for each vocabulary; a null text counts as empty."""
 
     def run(text: pa.Array) -> list:
         data, off = spans.buffers(text)
-        tokens = token_metrics([t.as_py() or "" for t in text], vocabulary_path)
-        return [*base_counts(data, off), *tokens, script_of(data, off)]
+        texts = [t.as_py() or "" for t in text]
+        tokens = zip(*(token_metrics(texts, path) for path in paths), strict=True)
+        every = [pa.array(list(np.column_stack(x))) if texts else pa.array([], pa.list_(kind)) for x, kind in zip(tokens, (pa.int64(), *[pa.float64()] * 3), strict=True)]
+        return [*base_counts(data, off), *every, script_of(data, off)]
 
     return rows.added(docs, ["text"], MEASURED, run, 1 << 20)
 
@@ -131,72 +112,95 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(measured: DataFrame, levels: list[Column]) -> DataFrame:
-    """Per group of texts that pass the base rules: the band of each metric.
+def medians(sound: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(name, length, and the columns `values`): for each cell of `sound` the medians of the values, drawn to those of wider groups.
 
-    Every text is in one group of each level; groups of fewer than LEAST_DOCS
-    have none. A row for each language or script and length, so few.
+    Names that end in 2 are entropies: their wider group is the length. The
+    lengths are doublings, so at most 64, which is what the driver holds.
+    """
+    rising = [k for k in values if k.endswith("2")]
+    level = [k for k in values if k not in rising]
+    x = sound.select("name", "length", *[v.alias(k) for k, v in values.items()])
+    mid = [F.percentile_approx(k, 0.5, 2000).alias(k) for k in values]
+    cells = scratch.keep(x.groupBy("name", "length").agg(F.count("*").alias("n"), *mid), "cells")
+    names = x.groupBy("name").agg(F.count("*").alias("n"), *[m for m, k in zip(mid, values, strict=True) if k in level])
+    every = x.agg(*[m for m, k in zip(mid, values, strict=True) if k in level]).first()
+    lengths = x.groupBy("length").agg(F.count("*").alias("n"), *[m for m, k in zip(mid, values, strict=True) if k in rising]).orderBy("length").collect()
+    drawn = lambda n, own, wide: (n * own + PRIOR * wide) / (n + PRIOR)
+    names = names.select("name", *[drawn(F.col("n"), F.col(k), F.lit(every[k])).alias(f"{k}_wide") for k in level])
+    chain, last = [], None
+    for r in lengths:
+        last = {k: r[k] if last is None else drawn(r["n"], r[k], last[k]) for k in rising}
+        chain.append((r["length"], *last.values()))
+    wide = sound.sparkSession.createDataFrame(chain, f"length long, {', '.join(f'{k}_wide double' for k in rising)}")
+    both = cells.join(names, "name").join(F.broadcast(wide), "length")
+    return both.select("name", "length", *[drawn(F.col("n"), F.col(k), F.col(f"{k}_wide")).alias(k) for k in values])
+
+
+def bands(measured: DataFrame, vocabularies: int) -> DataFrame:
+    """(name, length, band): of each group of texts, for each vocabulary, the limits (low, high) of the METRICS; null is none.
+
+    A row for each language or script and length, so few.
     """
+    keys = {f"m{v}_{i}": F.col(m)[v] for v in range(vocabularies) for i, m in enumerate(METRICS)}
     # Copies of one text have equal measures and count once, else a large group of them would set the band.
-    sound = measured.where(~base_failed()).select(F.explode(F.array(*levels)).alias("band"), *METRICS).distinct()
-    middle = sound.groupBy("band").agg(F.count("*").alias("n"), *[F.percentile_approx(m, 0.5, 2000).alias(f"{m}_mid") for m in METRICS])
-    middle = scratch.keep(middle.where(F.col("n") >= LEAST_DOCS), "band-middles")
-    off = sound.join(middle, "band").groupBy("band").agg(
-        *[F.first(f"{m}_mid").alias(f"{m}_mid") for m in METRICS],
-        *[F.percentile_approx(F.abs(F.col(m) - F.col(f"{m}_mid")), 0.5, 2000).alias(f"{m}_dev") for m in METRICS],
-    )
-    half = {m: F.greatest(WIDTH * 1.4826 * F.col(f"{m}_dev"), LEAST * F.col(f"{m}_mid")) for m in METRICS}
-    return off.select(
-        "band",
-        (F.col("chars_per_token_mid") - half["chars_per_token"]).alias("chars_low"),
-        (F.col("chars_per_token_mid") + half["chars_per_token"]).alias("chars_high"),
-        (F.col("byte_share_mid") + F.greatest(half["byte_share"], F.lit(LEAST_BYTES))).alias("byte_high"),
-        (F.col("token_entropy_mid") - half["token_entropy"]).alias("entropy_low"),
-    )
-
-
-def verdicts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    sound = measured.where(~base_failed()).select("name", "length", *[c.alias(k) for k, c in keys.items()]).distinct()
+    sound = scratch.keep(sound, "sound")
+    middle = scratch.keep(medians(sound, {k: F.col(k) for k in keys}), "middles")
+    apart = sound.join(middle.withColumnsRenamed({k: f"{k}_mid" for k in keys}), ["name", "length"])
+    off = medians(apart, {k: F.abs(F.col(k) - F.col(f"{k}_mid")) for k in keys}).withColumnsRenamed({k: f"{k}_dev" for k in keys})
+    limits: list[Column] = []
+    for v in range(vocabularies):
+        for i, m in enumerate(METRICS):
+            mid = F.col(f"m{v}_{i}")
+            half = F.greatest(WIDTH * 1.4826 * F.col(f"m{v}_{i}_dev"), F.lit(LEAST_BYTES) if m == "byte_share" else LEAST * mid)
+            none = F.lit(None).cast("double")
+            limits.append(F.struct((none if m == "byte_share" else mid - half).alias("low"), (none if m == "token_entropy" else mid + half).alias("high")))
+    return middle.join(off, ["name", "length"]).select("name", "length", F.array(*limits).alias("band"))
+
+
+def verdicts(docs: DataFrame, paths: Sequence[str]) -> DataFrame:
     """rows.ROW, MEASURED, base_failed and kept."""
-    measured = scratch.keep(measure(docs, vocabulary_path), "measured")
+    measured = measure(docs, paths)
     script = F.concat(F.lit("script:"), "script")
     name = F.coalesce(F.col(rows.ROW)["lang"].cast("string"), script) if "lang" in docs.columns else script
-    levels = [F.concat_ws(" ", name, F.floor(F.log2(F.greatest("n_tokens", F.lit(1))))), name, F.lit("*")]
-    limits = scratch.keep(bands(measured, levels), "bands")
-    m = measured
-    for i, level in enumerate(levels):
-        m = m.withColumn("__band", level).join(limits.select(F.col("band").alias("__band"), F.struct("*").alias(f"__l{i}")), "__band", "left").drop("__band")
-    # What is usual at its length or in its language is no fault; all texts stand in where there is neither band.
-    near, wide = F.coalesce("__l0", "__l1", "__l2"), F.coalesce("__l1", "__l0", "__l2")
-    outside = (
-        ~F.col("chars_per_token").between(F.least(near["chars_low"], wide["chars_low"]), F.greatest(near["chars_high"], wide["chars_high"]))
-        | (F.col("byte_share") > F.greatest(near["byte_high"], wide["byte_high"]))
-        # Entropy rises with length, so bands of all lengths say nothing on it.
-        | (F.col("token_entropy") < F.col("__l0")["entropy_low"])
-    )
-    out = m.withColumn("base_failed", base_failed())
-    out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False)))
+    length = F.floor(F.log2(F.greatest(F.col("n_tokens")[0], F.lit(1))))
+    measured = scratch.keep(measured.withColumns({"name": name, "length": length}), "measured")
+    limits = scratch.keep(bands(measured, len(paths)), "bands")
+    m = measured.join(limits, ["name", "length"], "left")
+
+    def outside(v: int) -> Column:
+        out = F.lit(False)
+        for i, metric in enumerate(METRICS):
+            x, band = F.col(metric)[v], F.col("band")[v * len(METRICS) + i]
+            out = out | F.coalesce(x < band["low"], F.lit(False)) | F.coalesce(x > band["high"], F.lit(False))
+        return out.cast("int")
+
+    votes = sum((outside(v) for v in range(1, len(paths))), outside(0))
+    out = m.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (votes < min(VOTES, len(paths))))
     return out.select(rows.ROW, *rows.names_of(MEASURED), "base_failed", "kept")
 
 
-def judged(docs: DataFrame, vocabulary_path: str = f"{FOLDER}/{VOCABULARY}") -> DataFrame:
+def judged(docs: DataFrame, paths: Sequence[str] = PATHS) -> DataFrame:
     """`docs` with MEASURED, base_failed and kept, which take the place of columns of these names.
 
     `docs` needs text; a lang column, where there is one and it is not null,
-    chooses the bands, else the script does. A text fails outside the bands of
-    its language and length and of its language as a whole, or under the entropy
-    usual for its language and length; groups of too few texts have no bands,
-    and those of all texts stand in, but for entropy. Null and
-    empty texts fail; no rows give no rows; repeated rows are judged each.
+    chooses the bands, else the script does. A text that the base rules keep
+    fails outside the bands of its language and length for VOTES vocabularies
+    (all, where there are fewer). Null and empty texts fail; very long texts,
+    or long runs of one character, are encoded whole; no rows give no rows;
+    repeated rows are judged each, and count once for the bands.
     """
-    return rows.spread(verdicts(docs, vocabulary_path), docs.columns, [*rows.names_of(MEASURED), "base_failed", "kept"])
+    return rows.spread(verdicts(docs, paths), docs.columns, [*rows.names_of(MEASURED), "base_failed", "kept"])
 
 
-def keep_good(docs: DataFrame, vocabulary_path: str = f"{FOLDER}/{VOCABULARY}") -> DataFrame:
-    """The rows of `docs` that are kept, as they were."""
-    return rows.own(verdicts(docs, vocabulary_path).where("kept"), docs.columns)
+def keep_good(docs: DataFrame, paths: Sequence[str] = PATHS) -> DataFrame:
+    """The rows of `docs` that are kept, as they were; see judged()."""
+    return rows.own(verdicts(docs, paths).where("kept"), docs.columns)
 
 
 def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; arrays have an entry for each of VOCABULARIES. See judged()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     m = judged(docs)
     return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "token_entropy")

@@ -2,13 +2,17 @@
 
 Documents are dealt by hash into shards of about `SHARD` pieces, each packed by
 best-fit decreasing: a piece goes to the open bin that it leaves the least room
-in; where none has room, the bin size whose cost for each token it may still
-hold is least is opened, so all permitted lengths are weighed together. In the
-end every bin shrinks to the least permitted length that holds its contents.
+in. Where none has room a bin is opened, and the permitted lengths are weighed
+together: each is filled in thought with the largest pieces still to come and
+shrunk to what it then holds, and the one that costs least for each token in it
+is opened. In the end every bin shrinks to the least permitted length that holds
+its contents.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .fertility import FOLDER, VOCABULARY, vocabulary
+from .vocabularies import FOLDER, VOCABULARY, vocabulary
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: cost(c) = OVERHEAD + c + c * c / QUADRATIC, in tokens: a bin's fixed cost and that of attention.
@@ -33,16 +37,49 @@ def cost(capacity: int) -> float:
     return OVERHEAD + capacity + capacity * capacity / QUADRATIC
 
 
+class ToCome:
+    """How many pieces of each length are still to be packed."""
+
+    def __init__(self, lengths: Sequence[int]):
+        self.count = Counter(map(int, lengths))
+        self.marks = sum(1 << n for n in self.count)  # bit n is set where a piece of n tokens is to come
+
+    def take(self, n: int) -> None:
+        self.count[n] -= 1
+        if not self.count[n]:
+            self.marks ^= 1 << n
+
+    def fill(self, room: int) -> int:
+        """Tokens of the pieces that fill `room`, the largest that fits first."""
+        marks, left = self.marks, room
+        while fitting := marks & ((2 << left) - 1):
+            n = fitting.bit_length() - 1
+            left -= n * min(self.count[n], left // n)
+            marks &= (1 << n) - 1
+        return room - left
+
+
+def size_to_open(n: int, sizes: Sequence[int], to_come: ToCome) -> int:
+    """The permitted length (of the rising `sizes`) that costs least a token, for a bin that begins with a piece of n tokens."""
+    best = None
+    for c in sizes[bisect_left(sizes, n) :]:
+        full = n + to_come.fill(c - n)
+        price = cost(sizes[bisect_left(sizes, full)]) / full
+        if best is None or price < best[0]:
+            best = price, c
+    return best[1]
+
+
 def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin, offset in the bin and final capacity of it, for each of `lengths` (longest first, none over the largest)."""
     sizes = sorted(capacities)
-    left = int(sum(lengths))
+    to_come = ToCome(lengths)
     room: dict[int, list[int]] = {}
     marks = 0  # bit r is set where some open bin has r tokens of room
     used: list[int] = []
-    size_of: list[int] = []
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for i, n in enumerate(map(int, lengths)):
+        to_come.take(n)
         fitting = marks >> n
         if fitting:
             r = n + (fitting & -fitting).bit_length() - 1
@@ -50,13 +87,11 @@ def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tupl
             if not room[r]:
                 marks ^= 1 << r
         else:
-            r = min((c for c in sizes if c >= n), key=lambda c: (cost(c) / min(c, left), c))
+            r = size_to_open(n, sizes, to_come)
             b = len(used)
             used.append(0)
-            size_of.append(r)
         bins[i], offsets[i] = b, used[b]
         used[b] += n
-        left -= n
         if r > n:
             room.setdefault(r - n, []).append(b)
             marks |= 1 << (r - n)
@@ -68,7 +103,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, key, n): tokens of each whole text and one end mark; key is a hash of the text. Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(vocabulary_path)[0].encode_ordinary
+        encode = vocabulary(vocabulary_path).encode
         for batch in batches:
             n = [len(encode(t.as_py() or "")) + 1 for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(n, pa.int64())], ["doc_id", "key", "n"])
@@ -101,9 +136,10 @@ def packed(counts: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFra
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str = f"{FOLDER}/{VOCABULARY}", capacities: Sequence[int] = CAPACITIES) -> DataFrame:
-    """`docs` (doc_id, text) tokenised whole and packed; see packed()."""
+    """`docs` (doc_id, text) tokenised whole, however long, and packed; see packed(). A null or empty text is one end mark."""
     return packed(scratch.keep(token_counts(docs, vocabulary_path), "token-counts"), capacities)
 
 
 def op2_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies; see pack_documents()."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

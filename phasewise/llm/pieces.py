@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rows
-from .fertility import FOLDER
+from .vocabularies import FOLDER
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"

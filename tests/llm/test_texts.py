@@ -11,12 +11,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from phasewise.llm import fertility, html_text, packing, pieces, quality, spans, toxicity, warc
+from phasewise.llm import fertility, html_text, packing, pieces, quality, spans, toxicity, vocabularies, warc
 from phasewise.llm.labelled import held_out
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.01"
-VOCABULARY = f"{fertility.FOLDER}/{fertility.VOCABULARY}"
+VOCABULARY = f"{vocabularies.FOLDER}/{vocabularies.VOCABULARY}"
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary files here")
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 texts_of = st.text(alphabet="ab#&é \n\t\x0b日", max_size=80)
@@ -49,15 +49,92 @@ def test_base_counts_of_words_that_defeat_rolling_hashes():
 
 
 @needs_vocabulary
-def test_token_metrics():
-    texts = ["the the the", "", "日本 語", "hello world, hello"]
-    n, chars, share, entropy = fertility.token_metrics(texts, VOCABULARY)
-    encoding, part = fertility.vocabulary(VOCABULARY)
+@pytest.mark.parametrize("path", fertility.PATHS)
+def test_token_metrics(path):
+    texts = ["the the the", "", "日本 語 𐍈", "hello world, hello"]
+    n, chars, share, entropy = fertility.token_metrics(texts, path)
+    v = vocabularies.vocabulary(path)
     for i, t in enumerate(texts):
-        ids = encoding.encode_ordinary(t)
-        assert n[i] == len(ids) and share[i] == pytest.approx(sum(part[x] for x in ids) / max(1, len(ids)))
+        ids = v.encode(t).tolist()
+        assert n[i] == len(ids) and share[i] == pytest.approx(sum(bool(v.part[x]) for x in ids) / max(1, len(ids)))
+        assert chars[i] == pytest.approx(len(t) / max(1, len(ids)))
         p = [ids.count(x) / len(ids) for x in set(ids)]
         assert entropy[i] == pytest.approx(-sum(x * np.log2(x) for x in p), abs=1e-12)
+    assert share[2] > 0
+
+
+@needs_vocabulary
+def test_splitting_leaves_tokens_as_they_are(monkeypatch):
+    v = vocabularies.vocabulary(VOCABULARY)
+    rng = random.Random(5)
+    spaces = [chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    monkeypatch.setattr(vocabularies, "_RUN", re.compile(f"[{vocabularies.SPACE}]{{3,}}"))
+    monkeypatch.setattr(vocabularies, "STRETCH", 7)
+    for _ in range(5000):
+        text = "".join(rng.choice(["a", "b", "'s", "1", "#", "\x1c", "é", "日", "😀", " ", " ", "\n", rng.choice(spaces)]) for _ in range(rng.randrange(30)))
+        assert v.encode(text).tolist() == v.encoding.encode_ordinary(text)
+
+
+LONG_RUNS = [" ", "\n", "\t", "\xa0", "a", "7", "#", "日", " \n"]
+
+
+@needs_vocabulary
+def test_long_runs(spark):
+    rows = [(i, f"x{c * (1_000_000 // len(c))}y", "en") for i, c in enumerate(LONG_RUNS)] + [(20, " " * 1_000_000, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    out = {r["doc_id"]: r for r in fertility.judged(df).collect()}
+    assert len(out) == 10 and all(r["base_failed"] and min(r["n_tokens"]) > 10_000 for r in out.values())
+    counts = packing.token_counts(df, VOCABULARY).collect()
+    assert {r["doc_id"]: r["n"] - 1 for r in counts} == {d: r["n_tokens"][0] for d, r in out.items()}
+    assert sum(r["n_tokens"] for r in packing.pack_documents(df).collect()) == sum(r["n"] for r in counts)
+
+
+def plain_bands(rows):
+    """{(name, length, vocabulary, metric): (low, high)} of [(name, length, [metrics of each vocabulary])]."""
+    mid = lambda x: sorted(x)[(len(x) - 1) // 2]
+    drawn = lambda own, wide: (len(own) * mid(own) + fertility.PRIOR * wide) / (len(own) + fertility.PRIOR) if own else wide
+
+    def centre(values, rising):
+        out, last = {}, None
+        for k in sorted({k for _, k, _ in values}):
+            own = [x for _, j, x in values if j == k]
+            last = mid(own) if last is None else drawn(own, last)
+            for name in {n for n, _, _ in values}:
+                of_name = [x for n, _, x in values if n == name]
+                wide = last if rising else drawn(of_name, mid([x for _, _, x in values]))
+                out[name, k] = drawn([x for n, j, x in values if (n, j) == (name, k)], wide)
+        return out
+
+    out = {}
+    for v in range(len(rows[0][2])):
+        for m in range(3):
+            values = [(n, k, x[v][m]) for n, k, x in rows]
+            c = centre(values, m == 2)
+            d = centre([(n, k, abs(x - c[n, k])) for n, k, x in values], m == 2)
+            for cell in {(n, k) for n, k, _ in rows}:
+                half = max(fertility.WIDTH * 1.4826 * d[cell], fertility.LEAST_BYTES if m == 1 else fertility.LEAST * c[cell])
+                out[(*cell, v, m)] = (-np.inf if m == 1 else c[cell] - half, np.inf if m == 2 else c[cell] + half)
+    return out
+
+
+@needs_vocabulary
+@needs_tables
+def test_verdicts_match_plain_bands(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = fertility.judged(docs).collect()
+    cell = lambda r: (r["lang"] or f"script:{r['script']}", int(np.log2(max(1, r["n_tokens"][0]))))
+    of = lambda r: tuple(zip(r["chars_per_token"], r["byte_share"], r["token_entropy"], strict=True))
+    sound = {(*cell(r), of(r)) for r in got if not r["base_failed"]}
+    limits = plain_bands(list(sound))
+    for r in got:
+        votes = 0
+        for v, metrics in enumerate(of(r)):
+            sides = [limits.get((*cell(r), v, m), (-np.inf, np.inf)) for m in range(3)]
+            votes += any(not low - 1e-12 <= x <= high + 1e-12 for x, (low, high) in zip(metrics, sides, strict=True))
+        assert r["kept"] == (not r["base_failed"] and votes < fertility.VOTES)
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    judged = [(quality.get(r["doc_id"]), r["kept"]) for r in got if not r["base_failed"]]
+    assert np.mean([k for q, k in judged if q == 1]) > 0.98 and np.mean([k for q, k in judged if q == 0]) < 0.25
 
 
 @needs_vocabulary
@@ -79,22 +156,31 @@ def test_quality_rules(spark):
 
 
 def plain_pack(lengths, capacities):
-    """Best fit by looking at every open bin."""
-    bins, left = [], sum(lengths)
-    for n in lengths:
+    """Best fit by looking at every open bin, and at every piece to come for the size of a new one."""
+    bins, cost = [], packing.cost
+    least = lambda n: min(c for c in capacities if c >= n)
+    for i, n in enumerate(lengths):
         fitting = [b for b in bins if b[0] - b[1] >= n]
         if fitting:
-            room = min(b[0] - b[1] for b in fitting)
-            b = [b for b in fitting if b[0] - b[1] == room][-1]
+            b = min(fitting, key=lambda b: b[0] - b[1])
         else:
-            b = [min((c for c in capacities if c >= n), key=lambda c: (packing.cost(c) / min(c, left), c)), 0]
+            prices = []
+            for c in capacities:
+                full = n
+                for m in lengths[i + 1 :]:
+                    full += m if full + m <= c else 0
+                prices += [(cost(least(full)) / full, c)] if n <= c else []
+            b = [min(prices)[1], 0]
             bins.append(b)
         b[1] += n
-        left -= n
-    return sorted((b[1], min(c for c in capacities if c >= b[1])) for b in bins)
+    return sorted((b[1], least(b[1])) for b in bins)
 
 
-@settings(max_examples=40)
+def price(bins, final):
+    return sum(packing.cost(c) for c in dict(zip(bins.tolist(), final.tolist(), strict=True)).values())
+
+
+@settings(max_examples=60)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_packing_is_best_fit(lengths):
     lengths, capacities = sorted(lengths, reverse=True), (16, 32, 64)
@@ -108,13 +194,30 @@ def test_packing_is_best_fit(lengths):
     assert len(used) == len(plain_pack(lengths, capacities))
 
 
+@pytest.mark.parametrize("low,high", [(1, 8193), (600, 3000), (20, 900), (2000, 5000)])
+def test_joint_sizes_beat_single_rules(low, high, monkeypatch):
+    lengths = sorted(np.random.default_rng(high).integers(low, high, 1500).tolist(), reverse=True)
+    bins, _, final = packing.pack(lengths)
+    joint = price(bins, final)
+    # One size for all that holds every piece whole, with and without shrinking; the least size that fits.
+    for c in packing.CAPACITIES:
+        if c >= max(lengths):
+            alone, _, _ = packing.pack(lengths, [c])
+            assert joint <= packing.cost(c) * len(set(alone.tolist())) and (c == 2048 or joint < packing.cost(c) * len(set(alone.tolist())))
+            monkeypatch.setattr(packing, "size_to_open", lambda n, sizes, to_come, c=c: c)
+            assert joint <= price(*packing.pack(lengths)[::2])
+            monkeypatch.undo()
+    monkeypatch.setattr(packing, "size_to_open", lambda n, sizes, to_come: min(c for c in sizes if c >= n))
+    assert joint <= price(*packing.pack(lengths)[::2])
+
+
 @needs_vocabulary
 def test_packed_documents(spark):
     long = "word " * 20000
     rows = [(1, long), (2, "a"), (2, "a"), (3, None), (None, "b c")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(0))
     out = packing.pack_documents(df).collect()
-    encode = fertility.vocabulary(VOCABULARY)[0].encode_ordinary
+    encode = vocabularies.vocabulary(VOCABULARY).encode
     want = sorted((d or 0, len(encode(t or "")) + 1) for d, t in rows)
     total = {}
     for r in out:
@@ -130,7 +233,7 @@ def test_packed_documents(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
-MODEL = f"{fertility.FOLDER}/{pieces.MODEL}"
+MODEL = f"{vocabularies.FOLDER}/{pieces.MODEL}"
 
 
 @needs_vocabulary
