@@ -492,3 +492,63 @@ def test_main_text_in_a_marked_wrapper():
     assert html_text.main_text(f"<article><p>{text}</p></article>{comments}") == text.strip()
     assert html_text.main_text(f"<div><p>{plain}</p></div>{comments}") == plain.strip()
     assert html_text.main_text(f"<div hidden><article>{text}</article></div>") == ""
+
+
+STORY = "Long text of the article, which goes on for a while. " * 8
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='page has-sidebar'><article><p>{STORY}</p></article></div>",
+        f"<div class='page has-sidebar'><p>{STORY}</p></div>",
+        f"<div class='sidebar'><div><p>{STORY}</p></div></div>",
+        f"<div class='post comments-enabled'><p>{STORY}</p></div>",
+        f"<div class='widget-content'><p>{STORY}</p></div>",
+        f"<div class='no-banner'><p>{STORY}</p></div>",
+        f"<form><nav>a b</nav><div><p>{STORY}</p></div><button>Go</button></form>",
+        f"<form action=/><p>{STORY}</p></form>",
+        f"<div class=ad>Buy now</div><div><p>{STORY}</p></div><div class=comments><p>{'I reply at some length. ' * 30}</p></div>",
+    ],
+)
+def test_no_class_or_form_loses_the_article(page):
+    assert html_text.main_text(page) == html_text.main_text(f"<body>{page}") == STORY.strip()
+
+
+def plain_pages(rng, n):
+    """Pages of div elements without any telling name, and their blocks of content."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
+    prose = lambda k: " ".join(word() for _ in range(k)).capitalize() + "."
+    links = lambda k: "".join(f"<a href=/{word()}>{word()}</a> " for _ in range(k))
+    for _ in range(n):
+        blocks = [prose(rng.randrange(4, 9)), *(prose(rng.randrange(30, 90)) for _ in range(rng.randrange(4, 10)))]
+        body = "".join(f"<h1>{x}</h1>" if i == 0 else f"<p>{x}</p>" for i, x in enumerate(blocks))
+        before = "".join(f"<div>{links(rng.randrange(3, 9))}</div>" for _ in range(rng.randrange(2, 5)))
+        after = "".join(f"<div><ul>{''.join(f'<li>{links(1)}' for _ in range(6))}</ul></div>" for _ in range(rng.randrange(2, 5)))
+        yield f"<html><body><div><div>{before}</div><div>{body}</div><div>{after}</div><div>{links(2)} {word()}</div></div>", blocks
+
+
+def test_ratio_and_threshold_choose_the_text(monkeypatch):
+    pages = list(plain_pages(random.Random(8), 60))
+    right = lambda: np.mean([html_text.main_text(h).split("\n\n") == blocks for h, blocks in pages])
+    assert right() > 0.95
+    # Without the threshold, without the ratio, or without smoothing pages come out otherwise.
+    monkeypatch.setattr(html_text, "threshold", lambda smooth: -1.0)
+    assert right() == 0
+    monkeypatch.undo()
+    monkeypatch.setattr(html_text, "ratios", lambda lines: np.ones(len(lines)))
+    assert right() == 0
+    monkeypatch.undo()
+    mixed = "<div><a>x</a> <a>y</a> <a>z</a></div><div><p>" + "</p><p>".join([STORY, "A <i>b</i> <i>c</i>.", STORY]) + "</p></div><div><a>q</a> <a>r</a></div>"
+    assert html_text.main_text(mixed) == f"{STORY.strip()}\n\nA b c.\n\n{STORY.strip()}"
+    lines = html_text.LineParser()
+    lines.feed(mixed)
+    ratio = html_text.ratios(lines.finish())
+    assert (html_text.smoothed(ratio) >= html_text.threshold(html_text.smoothed(ratio))).sum() != (ratio >= html_text.threshold(ratio)).sum()
+
+
+def test_main_text_of_very_long_pages():
+    lines = [f"Line {i} of a very long page with words enough." for i in range(60_000)]
+    assert html_text.main_text("<nav>x</nav><div><p>" + "<p>".join(lines) + "</div>") == "\n\n".join(lines)
+    assert html_text.main_text("<p>" + " " * 1_000_000 + "x" * 1_000_000) == "x" * 1_000_000
+    assert html_text.main_text("<div>" * 50_000 + STORY) == STORY.strip()
