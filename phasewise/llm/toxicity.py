@@ -33,21 +33,39 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 #: Characters that don't show.
 JOINERS = "­​‌‍⁠﻿"
 _FOLD = str.maketrans(HOMOGLYPHS | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | dict.fromkeys(JOINERS, ""))
-_SWAPPED = re.compile(r"(?<=[^\W\d_])[0134578@$]+(?=[^\W\d_])|\b[0134578@$]+(?=[^\W\d_])")
+_SIGNS = re.compile(r"[0134578@$]+")
 _SWAP = str.maketrans(DIGITS)
 _GAP = re.compile(r"[\W\d_]+")
 #: Lengths of word beginnings that may enter the lexicon.
 STEMS = range(4, 9)
-#: Entries of the lexicon, and exception phrases, at most; these bound the model.
-MOST_ENTRIES, MOST_EXCEPTIONS = 2000, 500
-#: An entry needs this many toxic texts, this log-odds, and so many standard errors.
+#: An entry needs this many toxic texts, this log-odds, and so many standard errors. No other bound is set: the labelled sample is one.
 LEAST_TEXTS, LEAST_ODDS, LEAST_Z = 5, 1.5, 4.0
+#: An exception phrase needs LEAST_TEXTS other texts and at most this log-odds.
+SPARED_ODDS = -0.5
+
+
+def _swapped(m: re.Match) -> str:
+    """A run of digits and signs, those read as letters that stand right before one.
+
+    Behind a letter it is the whole run, else what starts at the first border
+    between a digit and a sign, with the run's own start at a space or a digit.
+    """
+    run, text = m[0], m.string
+    after = text[m.end() : m.end() + 1]
+    if not after.isalpha():
+        return run
+    before = text[m.start() - 1 : m.start()] if m.start() else ""
+    if before.isalpha():
+        return run.translate(_SWAP)
+    in_word = bool(before) and (before.isalnum() or before == "_")
+    first = next((i for i, c in enumerate(run) if c.isdigit() != in_word), len(run))
+    return run[:first] + run[first:].translate(_SWAP)
 
 
 def fold(text: str | None) -> str:
     """Folded words with one space before, between and behind them."""
     text = (text or "").lower().translate(_FOLD)
-    text = _SWAPPED.sub(lambda m: m[0].translate(_SWAP), text)
+    text = _SIGNS.sub(_swapped, text)
     return f" {_GAP.sub(' ', text).strip()} "
 
 
@@ -89,8 +107,12 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        for a, b in spared:
-            for start in [x for x in found if a <= x < b]:
+        if spared and found:
+            at = np.fromiter(found, np.int64, len(found))
+            begin, end = np.sort(np.array(spared).T, axis=1)
+            # Phrases begun at or before a word, less those that ended there.
+            within = np.searchsorted(begin, at, "right") > np.searchsorted(end, at, "right")
+            for start in at[within].tolist():
                 del found[start]
         return found
 
@@ -126,11 +148,11 @@ def _counted(texts: DataFrame, keys) -> DataFrame:
     return part.groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _odds(pos: int, neg: int, n_pos: int, n_neg: int) -> tuple[float, float]:
-    """Log-odds and standard errors it is from 0."""
-    cells = pos + 0.5, n_pos - pos + 0.5, neg + 0.5, n_neg - neg + 0.5
-    odds = float(np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3]))
-    return odds, odds / float(np.sqrt(sum(1 / c for c in cells)))
+def _rated(counts: DataFrame, n_pos: int, n_neg: int) -> DataFrame:
+    """`counts` with odds, the log-odds of toxic texts, and z, the standard errors it is from 0."""
+    cells = F.col("pos") + 0.5, n_pos - F.col("pos") + 0.5, F.col("neg") + 0.5, n_neg - F.col("neg") + 0.5
+    odds = F.log(cells[0]) - F.log(cells[1]) - F.log(cells[2]) + F.log(cells[3])
+    return counts.withColumns({"odds": odds, "z": odds / F.sqrt(sum((1 / c for c in cells[1:]), 1 / cells[0]))})
 
 
 def fit(texts: DataFrame, seeds: dict[str, float] | None = None, exceptions: frozenset[str] = frozenset()) -> Lexicon:
@@ -142,16 +164,9 @@ def fit(texts: DataFrame, seeds: dict[str, float] | None = None, exceptions: fro
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
         return Lexicon(dict(seeds or {}), exceptions)
-    often = _counted(texts.where("y = 1"), _grams).where(F.col("pos") >= LEAST_TEXTS).orderBy(F.desc("pos"), "gram").limit(20 * MOST_ENTRIES)
-    candidates = frozenset(r["gram"] for r in often.select("gram").collect())
-    counts = _counted(texts, lambda folded: _grams(folded) & candidates).collect()
-    rated = []
-    for r in counts:
-        odds, z = _odds(r["pos"], r["neg"], n_pos, n_neg)
-        if r["pos"] >= LEAST_TEXTS and odds >= LEAST_ODDS and z >= LEAST_Z:
-            rated.append((z, odds, r["gram"]))
-    rated.sort(key=lambda x: (-x[0], x[2]))
-    weights = {g: odds for _, odds, g in rated[:MOST_ENTRIES]} | (seeds or {})
+    rated = _rated(_counted(texts, _grams), n_pos, n_neg)
+    good = rated.where((F.col("pos") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z)).select("gram", "odds").collect()
+    weights = {r["gram"]: r["odds"] for r in sorted(good)} | (seeds or {})
     lexicon = Lexicon(weights, exceptions)
 
     def phrases(folded: str) -> set[str]:
@@ -166,10 +181,8 @@ def fit(texts: DataFrame, seeds: dict[str, float] | None = None, exceptions: fro
                 out.add(folded[before : end + 1])
         return out
 
-    benign = _counted(texts, phrases).where(F.col("neg") >= LEAST_TEXTS).orderBy(F.desc("neg"), "gram").limit(20 * MOST_EXCEPTIONS).collect()
-    spared = [(r["neg"], r["gram"]) for r in benign if _odds(r["pos"], r["neg"], n_pos, n_neg)[0] <= -0.5]
-    spared.sort(key=lambda x: (-x[0], x[1]))
-    lexicon = Lexicon(weights, exceptions | {g for _, g in spared[:MOST_EXCEPTIONS]})
+    benign = _rated(_counted(texts, phrases), n_pos, n_neg).where((F.col("neg") >= LEAST_TEXTS) & (F.col("odds") <= SPARED_ODDS)).select("gram").collect()
+    lexicon = Lexicon(weights, exceptions | {r["gram"] for r in benign})
     learnt = scored(texts, lexicon).select("y", "f").collect()
     x, y = np.array([r["f"] for r in learnt]), np.array([r["y"] for r in learnt], float)
     lexicon.model = logistic(x, y)
@@ -179,7 +192,9 @@ def fit(texts: DataFrame, seeds: dict[str, float] | None = None, exceptions: fro
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """`docs` with toxicity (0 to 1) and its features f, in place of columns of these names.
 
-    Null and empty texts have no hits; no rows give no rows.
+    Null and empty texts have no hits; very long ones are folded and matched
+    whole, in a time that grows with their length; repeated rows are scored
+    each; no rows give no rows.
     """
 
     def run(text: pa.Array) -> list:
@@ -192,6 +207,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def op6_toxic_lexicon(spark: SparkSession, sf_dir: str, most: int = MOST_ROWS) -> DataFrame:
+    """Score and verdict of every document; see scored(). Without both labels all scores are low."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = held_out(5, 0)
     texts = sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", ~held, most)

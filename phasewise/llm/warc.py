@@ -27,6 +27,8 @@ from . import scratch
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Plain bytes after which a frame, and compressed bytes after which a bundle is closed.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
+#: Plain bytes of frames that a reading task gets, about.
+READ_BYTES = 64 << 20
 #: Shortest payload that may be replaced by a revisit record.
 LEAST_REVISIT = 100
 #: The fixed date keeps archives of equal pages equal.
@@ -171,22 +173,28 @@ def write(pages: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(path)
         writer, name = None, ""
-        for batch in batches:
-            rows = []
-            for page_id, url, payload, digest, size, refers_to in zip(*(batch[c] for c in ("page_id", "url", "payload", "digest", "size", "refers_to")), strict=True):
-                page_id = page_id.as_py()
-                data = record(page_id, url.as_py(), digest.as_py(), size.as_py(), refers_to.as_py(), payload.as_py())
-                if writer is None:
-                    name = f"{uuid.uuid4().hex}.warc.zst"
-                    writer = BundleWriter(fs.open_output_stream(f"{base}/{name}", compression=None))
-                frame, at = writer.add(data)
-                rows.append((page_id, name, frame, at, len(data)))
-                if writer.size >= BUNDLE_BYTES:
-                    writer.close()
-                    writer = None
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "bundle", "frame", "frame_offset", "record_bytes"])
+        try:
+            for batch in batches:
+                rows = []
+                for page_id, url, payload, digest, size, refers_to in zip(*(batch[c] for c in ("page_id", "url", "payload", "digest", "size", "refers_to")), strict=True):
+                    page_id = page_id.as_py()
+                    data = record(page_id, url.as_py(), digest.as_py(), size.as_py(), refers_to.as_py(), payload.as_py())
+                    if writer is None:
+                        name = f"{uuid.uuid4().hex}.warc.zst"
+                        writer = BundleWriter(fs.open_output_stream(f"{base}/{name}", compression=None))
+                    frame, at = writer.add(data)
+                    rows.append((page_id, name, frame, at, len(data)))
+                    if writer.size >= BUNDLE_BYTES:
+                        writer.close()
+                        writer = None
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "bundle", "frame", "frame_offset", "record_bytes"])
+        except BaseException:
+            # No index row names what is left of this bundle.
+            if writer is not None:
+                writer.sink.close()
+            raise
         if writer is not None:
             writer.close()
 
@@ -206,33 +214,48 @@ def read(spark: SparkSession, path: str, index: DataFrame | None = None) -> Data
     """
     whole = index is None
     index = spark.read.schema(INDEX).parquet(f"{path}/index") if whole else index
-    frames = index.groupBy("bundle", "frame").agg(*([] if whole else [F.collect_set("frame_offset").alias("offsets")]), F.count("*").alias("n"))
-    frames = frames.repartition(scratch.partitions(spark), "bundle", "frame").sortWithinPartitions("bundle", "frame")
+    frames = index.groupBy("bundle", "frame").agg(*([] if whole else [F.collect_set("frame_offset").alias("offsets")]), F.sum("record_bytes").alias("plain"))
+    frames = scratch.keep(frames, "frames")
+    n, plain = frames.agg(F.count("*"), F.coalesce(F.sum("plain"), F.lit(0))).first()
+    # The number of tasks follows the archives' bytes; the index itself is so small that Spark would read it in one.
+    tasks = max(1, min(n, max(scratch.partitions(spark), -(-plain // READ_BYTES))))
+    frames = frames.repartitionByRange(tasks, F.xxhash64("bundle", "frame")).sortWithinPartitions("bundle", "frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(path)
         name, reader = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bundle"] != name:
-                    name = row["bundle"]
-                    reader = BundleReader(fs.open_input_file(f"{base}/{name}"))
-                data, found, at = reader.frame(row["frame"]), [], 0
-                for at in row["offsets"] if not whole else _offsets(data):
-                    fields, content, _ = parse(data, at)
-                    kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
-                    if kind == "response" and hashlib.sha256(content).hexdigest() != digest:
-                        raise ValueError(f"{name}, frame {row['frame']}, byte {at}: the payload is damaged")
-                    number = lambda key: int(fields[key]) if key in fields else None
-                    size = len(content) if kind == "response" else number("x-payload-length")
-                    found.append((number("x-page-id"), fields["warc-target-uri"], kind, number("x-refers-to-page-id"), size, digest, content if kind == "response" else None))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["bundle"] != name:
+                        if reader is not None:
+                            reader.source.close()
+                        name = row["bundle"]
+                        reader = BundleReader(fs.open_input_file(f"{base}/{name}"))
+                    yield _records(reader.frame(row["frame"]), None if whole else row["offsets"], f"{name}, frame {row['frame']}")
+        finally:
+            if reader is not None:
+                reader.source.close()
 
     return frames.mapInArrow(run, RECORDS)
 
 
+def _records(data: bytes, offsets: list[int] | None, place: str) -> pa.RecordBatch:
+    """RECORDS of a frame: all, or those at `offsets`."""
+    found = []
+    for at in _offsets(data) if offsets is None else offsets:
+        fields, content, _ = parse(data, at)
+        kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
+        if kind == "response" and hashlib.sha256(content).hexdigest() != digest:
+            raise ValueError(f"{place}, byte {at}: the payload is damaged")
+        number = lambda key: int(fields[key]) if key in fields else None
+        size = len(content) if kind == "response" else number("x-payload-length")
+        found.append((number("x-page-id"), fields["warc-target-uri"], kind, number("x-refers-to-page-id"), size, digest, content if kind == "response" else None))
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
+
 def _offsets(data: bytes) -> Iterator[int]:
     at = 0
     while at < len(data):
@@ -241,7 +264,12 @@ def _offsets(data: bytes) -> Iterator[int]:
 
 
 def op9_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to archives and read back from them."""
+    """Every page written to archives and read back from them.
+
+    A null html is an empty payload, very long ones are frames of their own;
+    rows that share a page_id, or have none, get a record each; no rows give no
+    rows.
+    """
     path = scratch.new_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
