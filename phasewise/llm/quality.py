@@ -1,10 +1,12 @@
 """Quality classifier on random-indexing word vectors.
 
 A word's vector is the sum of the sparse random index vectors of its neighbours
-in the sample, at a hashed place of a fixed table. A document is the mean of
+in all documents, at a hashed place of a fixed table; the sums are whole numbers
+that tasks add up on their own and Spark in the end. A document is the mean of
 its words' vectors, the mean of the index vectors of its words' shapes, and a
-few lengths and ratios. A two-layer network of numpy arrays rates it, and one
-temperature, fitted on texts it did not learn from, calibrates the probability.
+few lengths and ratios. A two-layer network of numpy arrays, fitted on a bounded
+sample of labelled documents, rates it, and one temperature, fitted on texts it
+did not learn from, calibrates the probability.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ _CLASS[0x41:0x5B], _CLASS[0x61:0x7B], _CLASS[0x30:0x3A], _CLASS[0x80:] = ord("A"
 def index_vectors(places: int, dims: int, seed: int) -> np.ndarray:
     """Sparse random vectors of -1, 0 and 1, a quarter of them not 0."""
     x = np.random.default_rng(seed).integers(0, 8, (places, dims))
-    return (x == 0).astype(np.float32) - (x == 1)
+    return (x == 0).astype(np.int8) - (x == 1).astype(np.int8)
 
 
-INDEX, SHAPE_INDEX = index_vectors(WORDS, WORD_DIMS, 1), index_vectors(SHAPES, SHAPE_DIMS, 2)
+INDEX, SHAPE_INDEX = index_vectors(WORDS, WORD_DIMS, 1), index_vectors(SHAPES, SHAPE_DIMS, 2).astype(np.float32)
+#: The index vector of a word as a left neighbour.
+LEFT_INDEX = np.roll(INDEX, 1, axis=1)
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -118,27 +122,42 @@ def document_vectors(column: pa.Array, table: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def word_table(columns: Iterator[pa.Array]) -> np.ndarray:
-    """Random-indexing vectors of the hashed words, each of length 1."""
+def add_neighbours(sums: np.ndarray, column: pa.Array) -> None:
+    """Add to each word's place the index vectors of the words beside it in `column`."""
+    for a, b in spans.chunks(column, CHUNK):
+        _, _, _, _, rows, h = words_of(column.slice(a, b - a))
+        place = (h >> spans.U(48)).astype(np.int64)
+        near = rows[1:] == rows[:-1]
+        left, right = place[:-1][near], place[1:][near]
+        for own, other, index in ((left, right, INDEX), (right, left, LEFT_INDEX)):
+            for at in range(0, len(own), 1 << 18):
+                order = np.argsort(own[at : at + (1 << 18)], kind="stable") + at
+                places = own[order]
+                first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+                sums[places[first]] += np.add.reduceat(index[other[order]], first, axis=0, dtype=np.int64)
+
+
+def word_table(docs: DataFrame) -> np.ndarray:
+    """Random-indexing vectors of the hashed words of all `docs` (text), none longer than 1.
+
+    The driver gets WORDS rows of WORD_DIMS numbers at most, whatever the table holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((WORDS, WORD_DIMS), np.int64)
+        for batch in batches:
+            add_neighbours(sums, batch["text"])
+        place = np.flatnonzero(sums.any(axis=1))
+        for at in range(0, len(place), 1 << 13):
+            part = place[at : at + (1 << 13)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x) for x in sums[part].T.copy())], ["place", *names])
+
+    names = [f"x{i}" for i in range(WORD_DIMS)]
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in ["place", *names]))
+    found = parts.groupBy("place").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
     table = np.zeros((WORDS, WORD_DIMS), np.float32)
-    for column in columns:
-        for a, b in spans.chunks(column, CHUNK):
-            _, _, _, _, rows, h = words_of(column.slice(a, b - a))
-            place = (h >> spans.U(48)).astype(np.int64)
-            near = rows[1:] == rows[:-1]
-            left, right = place[:-1][near], place[1:][near]
-            order = np.argsort(left, kind="stable")
-            _add(table, left[order], INDEX[right[order]])
-            order = np.argsort(right, kind="stable")
-            _add(table, right[order], np.roll(INDEX, 1, axis=1)[left[order]])
-    size = np.linalg.norm(table, axis=1, keepdims=True)
-    return table / np.maximum(size, 1.0)
-
-
-def _add(table: np.ndarray, place: np.ndarray, values: np.ndarray) -> None:
-    if len(place):
-        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        table[place[first]] += np.add.reduceat(values, first, axis=0)
+    table[found["place"].to_numpy()] = np.column_stack([found[c].to_numpy() for c in names])
+    return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1.0)
 
 
 def forward(layers: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,40 +190,41 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> list[np.ndarray]:
     return layers
 
 
-def fit(texts: DataFrame) -> Quality | None:
-    """A model of the labelled `texts` (doc_id, text, y), a bounded sample that streams through the driver; None without both labels."""
-    table = word_table(c for c, _ in _batches(texts))
-    xs, ys = [], []
-    for column, y in _batches(texts):
-        xs.append(document_vectors(column, table))
-        ys.append(y)
-    y = np.concatenate(ys) if ys else np.zeros(0)
+def labelled_vectors(texts: DataFrame, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document vectors and labels of `texts` (doc_id, text, y), a bounded sample, in the order of doc_id and text."""
+    at = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = document_vectors(batch["text"], at.value)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sha"], batch["y"], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "sha", "y", "x"])
+
+    narrow = texts.select("doc_id", F.sha2("text", 256).alias("sha"), F.col("y").cast("int"), "text")
+    found = narrow.mapInArrow(run, "doc_id long, sha string, y int, x array<double>").orderBy("doc_id", "sha").toArrow()
+    x = found["x"].combine_chunks().flatten().to_numpy().reshape(len(found), -1) if len(found) else np.zeros((0, 1))
+    return x, found["y"].to_numpy().astype(float)
+
+
+def fit(texts: DataFrame, table: np.ndarray | None = None) -> Quality | None:
+    """A model of the labelled `texts` (doc_id, text, y); None without both labels.
+
+    `table` is the word_table() of the corpus, by default of the texts. The
+    driver holds the vectors of the sample, not its texts.
+    """
+    table = word_table(texts) if table is None else table
+    x, y = labelled_vectors(texts, table)
     if not 0 < y.sum() < len(y):
         return None
-    x = np.concatenate(xs)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = np.clip((x - mean) / scale, -8, 8)
-    apart = np.arange(len(x)) % 5 == 4 if len(x) >= 50 else np.zeros(len(x), bool)
+    apart = np.arange(len(x)) % 5 == 4
     layers = train(x[~apart], y[~apart])
-    check = apart if apart.any() else ~apart
-    z = forward(layers, x[check])[1]
+    z = forward(layers, x[apart])[1]
     grid = np.geomspace(0.25, 8.0, 101)
-    loss = [np.mean(np.logaddexp(0, z / t) - y[check] * z / t) for t in grid]
+    loss = [np.sum(np.logaddexp(0, z / t) - y[apart] * z / t) + np.log(t) ** 2 for t in grid]
     return Quality(table, mean, scale, layers, float(grid[int(np.argmin(loss))]))
 
 
-def _batches(texts: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Texts and labels of some hundred rows at a time, in the order of doc_id."""
-    held: list = []
-    for row in texts.orderBy("doc_id", "text").select("text", "y").toLocalIterator():
-        held.append(row)
-        if len(held) == 256:
-            yield pa.array([r["text"] for r in held], pa.string()), np.array([r["y"] for r in held], float)
-            held = []
-    if held:
-        yield pa.array([r["text"] for r in held], pa.string()), np.array([r["y"] for r in held], float)
-
-
 def rated(docs: DataFrame, model: Quality | None) -> DataFrame:
     """rows.ROW and quality (0 to 1); without a model all have 0.5."""
     at = docs.sparkSession.sparkContext.broadcast(model)
@@ -217,12 +237,17 @@ def rated(docs: DataFrame, model: Quality | None) -> DataFrame:
 
 
 def scored(docs: DataFrame, model: Quality | None) -> DataFrame:
-    """`docs` with quality, in place of a column of that name. Null and empty texts are rated like any other."""
+    """`docs` with quality, in place of a column of that name.
+
+    Null and empty texts are rated like any other, by vectors of 0; very long
+    ones are read whole; repeated rows are rated each; no rows give no rows.
+    """
     return rows.spread(rated(docs, model), docs.columns, ["quality"])
 
 
 def learnt(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Quality | None:
-    return fit(sample(docs, labels, "quality", ~held_out(3, 1), most))
+    """The model of `docs` and `labels`: word vectors of all documents, the network of `most` labelled rows at most."""
+    return fit(sample(docs, labels, "quality", ~held_out(3, 1), most), word_table(docs))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = MOST_ROWS) -> DataFrame:
@@ -231,6 +256,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int
 
 
 def op8_random_indexing(spark: SparkSession, sf_dir: str, most: int = MOST_ROWS) -> DataFrame:
+    """Score and verdict of every document; see scored(). Without both labels all scores are 0.5."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = scored(docs, learnt(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), most))
     return out.select("doc_id", held_out(3, 1).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))
