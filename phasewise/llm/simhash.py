@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import rows, scratch, skew
 from .components import connected, merge
 
 SEED = 42
@@ -248,37 +248,30 @@ def near_groups(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
     component_id is the smallest doc_id that can be reached. Null and empty
     texts have fingerprint 0 and are linked like any other. Repeated rows stay,
     a null doc_id is never a component_id unless its whole component has none.
-    No rows give no rows; further columns are ignored.
+    Very long texts are fingerprinted whole. No rows give no rows; further
+    columns are ignored.
     """
     prints = scratch.keep(with_fingerprint(docs, shingle), "fingerprints")
-    classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = connected(links(classes.select("fp"), bits))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = scratch.keep(rooted, "rooted")
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    roots = scratch.keep(connected(links(classes.select("fp"), bits)).withColumnRenamed("node", "fp"), "roots")
+    linked = scratch.keep(roots.join(classes, "fp"), "linked")
+    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    of_linked = skew.joined(linked.select("fp", "root", "n"), scratch.keep(lowest, "lowest"), "root", "members")
+    alone = classes.join(roots, "fp", "left_anti").select("fp", "n", F.col("first").alias("component_id"))
+    of_class = scratch.keep(alone.union(of_linked.select("fp", "n", "component_id")), "components")
+    return skew.joined(prints, of_class, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
-    """One row of every near-duplicate group: that with the smallest doc_id.
-
-    Of rows that share this doc_id, the one whose text sorts first stays. All
-    columns of `docs` are returned. Groups without any doc_id keep nothing but
-    one such row.
-    """
-    from pyspark.sql import Window
-
-    groups = near_groups(docs, bits, shingle)
-    ids = groups.select(F.col("component_id").alias("__first")).distinct()
-    left = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__first"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return left.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    """One row of every near-duplicate group, with all columns of `docs`; see skew.first_of_groups()."""
+    made = rows.added(docs, ["text"], "__node long", lambda text: [np.array([fingerprint(t.as_py(), shingle) for t in text], np.uint64).view(np.int64)])
+    described = scratch.keep(made, "described")
+    roots = connected(links(described.select(F.col("__node").alias("fp")).distinct(), bits))
+    return skew.first_of_groups(described, roots, docs.columns)
 
 
 def op4_simhash_trie(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see near_groups()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = near_groups(docs)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import blocks, rows, scratch, simhash
+from . import blocks, rows, scratch, simhash, skew
 from .components import connected
 
 SEED = 42
@@ -161,12 +161,13 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) ->
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, bits: int = 16) -> DataFrame:
-    """One row of every near-duplicate group: the smallest doc_id, then the text that sorts first.
+    """One row of every near-duplicate group, as skew.first_of_groups() chooses it.
 
     Texts whose sets of lower-cased shingles have a Jaccard similarity of
     `least` or more, and whose fingerprints differ in at most `bits` bits, are
     linked; groups are connected components. Null and empty texts are one
-    group. All columns of `docs` are returned, a null doc_id comes last.
+    group. All columns of `docs` are returned; no rows give no rows; very long
+    texts are read whole.
     """
     described = rows.added(docs, ["text"], "__node long, __fp long, __sketch binary", lambda t: _described(t, shingle))
     described = scratch.keep(described, "described")
@@ -193,8 +194,4 @@ def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, bits: int =
         found = scratch.keep(verified(pairs, some, least, shingle), "similar")
         links = found if links is None else links.union(found)
         scratch.release(docs.sparkSession)
-    roots = connected(links).withColumnRenamed("node", "__node")
-    row = F.col(rows.ROW)
-    order = W.partitionBy("__root").orderBy(row["doc_id"].asc_nulls_last(), row["text"])
-    whole = described.drop("__sketch", "__fp").join(roots, "__node", "left").withColumn("__root", F.coalesce("root", "__node"))
-    return rows.own(whole.withColumn("__nth", F.row_number().over(order)).where("__nth = 1"), docs.columns)
+    return skew.first_of_groups(described.select(rows.ROW, "__node"), connected(links), docs.columns)

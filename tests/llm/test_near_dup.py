@@ -176,6 +176,39 @@ def test_query_digests(spark, tmp_path):
         assert got[d]["n_removed"] == n and got[d]["kept_sha256"] == hashlib.sha256(" ".join(ws).encode()).hexdigest()
 
 
+def test_groups_without_an_id_keep_one_row_each(spark):
+    from phasewise.llm import similar
+
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(None, one, 1), (None, one, 2), (None, other, 3), (4, one + " x", 4), (5, None, 5), (5, None, 6), (None, "", 7), (8, other + " y", 8), (8, other, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m int").withColumns({c: F.lit(c) for c in ("__nth", "__node", "__first", "__id", "__sha", "__n", "root", "best")})
+    for keep in (simhash.keep_one, similar.keep_one):
+        out = keep(df)
+        assert out.columns == df.columns and all(r["__nth"] == "__nth" and r["best"] == "best" for r in out.collect())
+    got = sorted((r["doc_id"], r["text"]) for r in similar.keep_one(df).collect())
+    first = min((other, other + " y"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert [d for d, _ in got] == [4, 5, 8] and got[2][1] == first and got[0][1] == one + " x"
+    # Exact fingerprints: texts apart by a word are no group, and rows without an id of different texts stay.
+    plain = simhash.keep_one(spark.createDataFrame([(None, one), (None, other), (None, one)], "doc_id long, text string"), 0)
+    assert sorted(r["text"] for r in plain.collect()) == sorted([one, other])
+    assert simhash.keep_one(df.limit(0)).count() == similar.keep_one(df.limit(0)).count() == 0
+
+
+def test_hot_keys_are_joined_whole(spark):
+    from phasewise.llm import scratch, skew
+
+    many = scratch.keep(spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")), "many")
+    one = scratch.keep(many.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low")), "one")
+    got = skew.joined(many, one, "k", "n").collect()
+    assert len(got) == 6000 and all(r["low"] == (0 if r["k"] == 7 else r["k"]) for r in got)
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    rows = [(1, "a b c d " * 100_000), (2, "x" * 1_000_000), (3, " " * 1_000_000), (4, ""), (5, None)]
+    out = {r["doc_id"]: r for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1]["fp"] != 0 and out[2]["fp"] != 0 and {out[d]["component_id"] for d in (3, 4, 5)} == {3}
+
+
 def thue_morse(n, a, b):
     """The first n letters of the sequence; it and its complement share every polynomial hash modulo 2**64 for n = 2**k, k > 10."""
     return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
