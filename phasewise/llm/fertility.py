@@ -89,8 +89,8 @@ def token_metrics(texts: list[str], path: str) -> tuple[np.ndarray, ...]:
         ids = v.encode(text)
         n[i] = len(ids)
         if len(ids):
-            count = np.bincount(ids)
-            p = count[count > 0] / len(ids)
+            rising = np.sort(ids)
+            p = np.diff(np.flatnonzero(np.concatenate(([True], rising[1:] != rising[:-1], [True])))) / len(ids)
             chars[i], share[i], entropy[i] = len(text) / len(ids), v.part[ids].mean(), -(p * np.log2(p)).sum()
     return n, chars, share, entropy
 

@@ -87,21 +87,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Number of each word among the distinct words of `data`, compared by their bytes, and these words."""
     if not len(starts):
-        return np.zeros(0, np.int64), []
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
     off = np.concatenate(([0], np.cumsum(ends - starts)))
     plain = data[~_IS_SPACE[data]]
     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(plain)])
     found = column.dictionary_encode()
-    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """XXH64 of each word."""
     code, distinct = codes(data, starts, ends)
-    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), U, len(distinct))[code]
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct.to_pylist()), U, len(distinct))[code]
 
 
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
