@@ -56,8 +56,7 @@ def main(argv: list[str] | None = None) -> None:
         region = None if a.per_variant else a.region_col or a.groupby or "auto"
         files.write_imbalance(w.find_imbalance(spark, a.counts, min_count=a.min_count, pseudocount=a.pseudocount, model=a.model, phased=a.phased, region=region), a.out)
     elif a.command in ("find-imbalance-sc", "compare-imbalance"):
-        d = files.read_cells(spark, a.counts)
-        data = {"coo": d["coo"], "snps": d["var"], "cells": d["obs"], "features": spark.read.parquet(f"{a.counts}/feature")}
+        data = files.read_cells(spark, a.counts)
         f = w.find_imbalance_cells if a.command == "find-imbalance-sc" else w.compare_imbalance
         wanted = a.groups.split(",") if a.groups else None
         out = f(data, tables.read_groups(spark, a.barcode_map), wanted, a.sample, a.phased, a.z_cutoff or None, min_count=a.min_count, pseudocount=a.pseudocount)

@@ -9,12 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phasewise.functions import columns as C
+
 from phasewise.functions import betabinom as bb
 from phasewise.functions.groups import whole_groups
 from phasewise.operators.fdr import bh_adjust
 from phasewise.operators.imbalance import alternative, fit_dispersion, fit_regions, terms
 
 
+def variant_features(snps: DataFrame) -> DataFrame:
+    """(region, snp_idx): each place of `snps` as a region of its own, for counts without regions."""
+    return snps.select(C.variant_label(F.col("chrom"), F.col("pos0") + 1).alias("region"), "snp_idx")
+
+
 def het_only(snps: DataFrame, gt: str) -> DataFrame:
     return snps.where(F.col(gt).isin("0|1", "1|0", "0/1", "1/0"))
 

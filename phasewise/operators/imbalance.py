@@ -29,9 +29,9 @@ DONOR_BOUNDS = (1e-6, 1 - 1e-6)
 #: Starts of the search for the two parameters of the linear model, fixed values.
 STARTS = ((0, 0), (-3, 0), (-6, 0), (3, 0), (0, -0.2), (-3, -0.2), (-6, -0.2), (3, -0.2))
 MODELS = ("single", "linear", "per_donor")
-#: Columns that are never the region.
+#: Columns that are never the region, fixed values.
 METADATA = frozenset(
-    "chrom pos0 pos end ref alt GT genotype ref_count alt_count other_count N sample donor_id ref_base alt_base parent gene_parent index".split()
+    "chrom pos0 pos start stop end ref alt GT genotype ref_count alt_count other_count total_count N sample donor_id vcf_sample ref_base alt_base parent gene_parent index".split()
 )
 
 

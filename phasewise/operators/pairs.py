@@ -58,15 +58,19 @@ def split_by_overlap(reads: DataFrame, variants: DataFrame) -> tuple[DataFrame,
 
 
 def read_variants(reads: DataFrame, variants: DataFrame) -> DataFrame:
-    """A row for each read and variant that overlap, once for each (read, variant, mate)."""
+    """A row for each read and variant that overlap, once for each (read, variant, mate): the first in order of start and file."""
     mate = F.when(has_any(F.col("flag"), FIRST), 1).otherwise(2)
     r = primary(reads).select(
         F.col("chrom"), F.col("pos0").alias("start"), (F.col("pos0") + C.reference_length(F.col("cigar"))).alias("stop"), F.col("qname").alias("read"),
-        mate.alias("mate"), "mapq", F.when(has_any(F.col("flag"), REVERSE), "-").otherwise("+").alias("strand"),
+        mate.alias("mate"), "mapq", F.when(has_any(F.col("flag"), REVERSE), "-").otherwise("+").alias("strand"), "file_order",
     )
     v = variants.select(*[F.col(c).alias(f"v_{c}" if c in ("chrom", "pos0", "end") else c) for c in variants.columns])
     out = interval_join(r, v, ("chrom", "start", "stop"), ("v_chrom", "v_pos0", "v_end"), READ_BIN)
-    return out.dropDuplicates(["read", "mate", "chrom", "v_pos0", "v_end", "ref", "alt"])
+    key = ["read", "mate", "chrom", "v_pos0", "v_end", "ref", "alt"]
+    shown = [c for c in out.columns if c != "file_order"]
+    rest = F.struct(*[c for c in shown if c not in key])
+    first = out.groupBy(*key).agg(F.min_by(rest, F.struct("start", "file_order", "stop", "mapq", "strand")).alias("first"))
+    return first.select(*[F.col(c) if c in key else F.col("first")[c].alias(c) for c in shown])
 
 
 def classified_copies(remapped: DataFrame, slop: int = 0, sidecar: DataFrame | None = None, tag: str = C.TAG) -> DataFrame:

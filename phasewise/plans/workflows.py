@@ -70,7 +70,8 @@ def labelled_cells(cells: DataFrame, groups: DataFrame, wanted: Sequence[str] |
 
 
 def _cell_inputs(data: dict[str, DataFrame], groups: DataFrame, wanted, sample_gt: str | None, z_cutoff: float | None):
-    coo, snps, features = data["coo"], data["snps"], data["features"]
+    coo, snps = data["coo"], data["snps"]
+    features = data["features"] if "features" in data else cell_ops.variant_features(snps)
     if sample_gt:
         snps = cell_ops.het_only(snps, sample_gt)
         coo, features = coo.join(snps.select("snp_idx"), "snp_idx", "left_semi"), features.join(snps.select("snp_idx"), "snp_idx", "left_semi")

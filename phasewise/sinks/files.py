@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.functions import columns as C
+from phasewise.operators.cells import variant_features
 
 
 def write_tsv(df: DataFrame, path: str, sort: Sequence[str] = (), single: bool = False, compression: str = "none") -> None:
@@ -37,12 +38,15 @@ def _fastq(name: Column, seq: Column, qual: Column, reverse: Column) -> Column:
 
 
 def write_fastq(copies: DataFrame, path: str, compression: str = "gzip") -> None:
-    """r1 and r2 below `path`: equally many files with the mates in the same order.
+    """r1 and r2 below `path`: equally many files, those of one number with the mates in the same order.
 
-    Both come from one table that is dealt and sorted by name, so the order
-    doesn't depend on how tasks are run. Reads of the reverse strand are turned.
+    Copies are dealt by the hash of their name to a fixed number of tasks and
+    sorted there, so neither adaptive execution nor a sample of the data has a
+    say in where a mate goes. Reads of the reverse strand are turned.
     """
-    named = copies.where("name is not null").repartitionByRange("name").sortWithinPartitions("name")
+    n = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = [f"{c}{i}" for i in (1, 2) for c in ("seq", "qual", "reverse")]
+    named = copies.where("name is not null").select("name", *sides).repartition(n, "name").sortWithinPartitions("name", *sides)
     for i in (1, 2):
         name = F.concat("name", F.lit(f"/{i}"))
         out = named.select(_fastq(name, F.col(f"seq{i}"), F.col(f"qual{i}"), F.col(f"reverse{i}")).alias("value"))
@@ -66,20 +70,26 @@ def write_alignments(reads: DataFrame, path: str) -> None:
 
 
 def write_cells(path: str, coo: DataFrame, snps: DataFrame, cells: DataFrame, features: DataFrame | None = None) -> None:
-    """Sparse counts with their variants, cells, regions and totals, as Parquet folders."""
+    """Sparse counts with their variants, cells, regions and totals, as Parquet folders; read_cells() gives them back.
+
+    Without regions each variant is one of its own, so every store has features.
+    """
     coo.write.mode("overwrite").parquet(f"{path}/coo")
     totals = coo.groupBy("snp_idx").agg(F.sum("ref").alias("ref_count"), F.sum("alt").alias("alt_count"))
     var = snps.join(totals, "snp_idx", "left").fillna(0, ["ref_count", "alt_count"])
     var.write.mode("overwrite").parquet(f"{path}/var")
     cells.write.mode("overwrite").parquet(f"{path}/obs")
-    if features is not None:
-        features.write.mode("overwrite").parquet(f"{path}/feature")
+    if features is None:
+        features = variant_features(snps)
+    features.write.mode("overwrite").parquet(f"{path}/feature")
     stats = coo.agg(F.count("*").alias("entries"), F.count_distinct("bc_idx").alias("cells"), F.count_distinct("snp_idx").alias("snps"), F.sum(F.col("ref") + F.col("alt") + F.col("other")).alias("reads"))
     stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_cells(spark, path: str) -> dict[str, DataFrame]:
-    return {k: spark.read.parquet(f"{path}/{k}") for k in ("coo", "var", "obs", "stats")}
+    """coo, snps, cells, features and stats of write_cells(), as find_imbalance_cells() and compare_imbalance() take them."""
+    names = {"coo": "coo", "snps": "var", "cells": "obs", "features": "feature", "stats": "stats"}
+    return {k: spark.read.parquet(f"{path}/{folder}") for k, folder in names.items()}
 
 
 def write_export(df: DataFrame, path: str, format: str = "parquet") -> None:

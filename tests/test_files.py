@@ -196,6 +196,42 @@ def test_command_line(spark, tmp_path, vcf):
     assert [p.name for p in (out / "groups").glob("group_=*")] == ["group_=T-1"]
 
 
+def test_cells_without_regions(spark, tmp_path, vcf):
+    from phasewise import cli
+
+    sam, out = tmp_path / "a.sam", tmp_path / "out"
+    sam.write_text("".join(sam_line(f"q{i}", 67, 95, "AAAAA" + "AG"[i % 3 == 0] + "AAAA") for i in range(12)))
+    (tmp_path / "r.bed").write_text("chr1\t50\t150\tpeak\n")
+    (tmp_path / "bc.txt").write_text("x\n")
+    (tmp_path / "map.tsv").write_text("x\tT\n")
+    count = ["count-variants-sc", str(sam), str(vcf[0]), str(tmp_path / "bc.txt"), "--samples", "sample1", "--out", f"{out}/cells"]
+    test = ["find-imbalance-sc", f"{out}/cells", str(tmp_path / "map.tsv"), "--min-count", "1", "--out", f"{out}/groups"]
+    for regions, want in ((["--regions", str(tmp_path / "r.bed")], "peak"), ([], "chr1_")):
+        cli.main(count + regions)
+        cli.main(test)
+        # The regions of an earlier run are gone.
+        lines = [x for p in (out / "groups").rglob("part-*.csv") for x in p.read_text().splitlines()[1:]]
+        assert lines and all(x.split("\t")[1].startswith(want) for x in lines)
+    store = files.read_cells(spark, f"{out}/cells")
+    assert set(store) == {"coo", "snps", "cells", "features", "stats"} and "ref_count" in store["snps"].columns
+
+
+def test_mates_are_in_step_in_every_file(spark, tmp_path):
+    n = 3000
+    rows = [(f"n{i}", "A" * (i % 7 + 1), "F" * (i % 7 + 1), False, "C" * 400, "F" * 400, i % 2 == 0) for i in range(n)]
+    copies = spark.createDataFrame(rows, "name string, seq1 string, qual1 string, reverse1 boolean, seq2 string, qual2 string, reverse2 boolean").repartition(9)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        files.write_fastq(copies, str(tmp_path / "fq"), compression="none")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    names = [[[x[1:-2] for x in p.read_text().splitlines()[::4]] for p in sorted((tmp_path / "fq" / f"r{i}").glob("part-*"))] for i in (1, 2)]
+    assert len(names[0]) == 13 and names[0] == names[1] and sum(map(len, names[0])) == n
+
+
 def test_make_reads_and_fastq(spark, tmp_path):
     (tmp_path / "p.vcf").write_text(VCF.splitlines()[0] + "\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\nchr1\t100\t.\tA\tG\t.\t.\t.\tGT\t0|1\n")
     (tmp_path / "a.sam").write_text(sam_line("q", 99, 96, "AAAAAAAC") + sam_line("q", 147, 97, "AAAAAACC") + sam_line("z", 99, 500, "AAAA") + sam_line("z", 147, 520, "AAAA"))

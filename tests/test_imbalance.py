@@ -106,6 +106,7 @@ def test_bad_model_and_columns(spark):
     with pytest.raises(ValueError):
         find_imbalance(df, model="per_donor")
     assert region_column(["chrom", "pos", "ref", "peak", "ref_count"]) == "peak"
+    assert region_column(["chrom", "pos", "start", "stop", "ref", "alt", "total_count", "vcf_sample", "donor_id", "region"]) == "region"
     assert find_imbalance(df, min_count=100).count() == 0
 
 
