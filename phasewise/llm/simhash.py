@@ -29,7 +29,7 @@ SEED = 42
 #: Fingerprints in one trie; a larger bucket is joined as pairs of chunks.
 TRIE_ROWS = 1 << 16
 #: Node pairs that are expanded at once.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:

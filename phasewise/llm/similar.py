@@ -34,7 +34,9 @@ SLACK = 0.15
 #: Candidates that a text names in the first pass.
 NAMED = 8
 #: Pairs that a task holds before it keeps the most similar ones.
-HELD = 1 << 21
+HELD = 1 << 19
+#: Entries of tries that a task joins at once, about; a trie of more is joined alone.
+ENTRIES = 1 << 16
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -131,7 +133,7 @@ def candidates(nodes: DataFrame, bits: int, least: float, most: int | None) -> D
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], ["a", "b", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks.complete(batches, "trie", 1 << 18):
+        for table in blocks.complete(batches, "trie", ENTRIES):
             yield from pairs(table)
 
     dealt = simhash.turned(nodes, bits, ["node", "root", "sketch"], simhash.TRIE_ROWS)

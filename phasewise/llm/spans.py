@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 
@@ -139,7 +138,7 @@ def gram_codes(code: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray,
     gram = rows[:n]
     for i in range(k):
         # Both numbers are below the number of words, so the pair's fits.
-        gram = pd.factorize(gram * (int(code.max()) + 1) + code[i : i + n])[0]
+        gram = pa.array(gram * (int(code.max()) + 1) + code[i : i + n]).dictionary_encode().indices.to_numpy().astype(np.int64)
     return gram, rows[:n] == rows[k - 1 :]
 
 

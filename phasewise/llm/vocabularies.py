@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -65,7 +65,14 @@ class ByteBPE:
             except UnicodeDecodeError:
                 self.part[rank] = True
         self.encoding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.unit = tiktoken.Encoding(f"{path} unit", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.ranks = ranks
+
+    @cached_property
+    def unit(self):
+        """The encoding of a text that is one unit of the pattern; made where a text needs it, as it is large."""
+        import tiktoken
+
+        return tiktoken.Encoding(f"{self.encoding.name} unit", pat_str="(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
         found = [(self.unit if whole else self.encoding).encode_to_numpy(x, disallowed_special=()) for x, whole in stretches(text)]
