@@ -14,7 +14,7 @@ neither memory nor rows in the square of its size.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ SEED = 42
 #: Fingerprints in one trie; a larger bucket is joined as pairs of chunks.
 TRIE_ROWS = 1 << 16
 #: Node pairs that are expanded at once.
-FRONTIER = 1 << 16
+FRONTIER = 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -84,7 +84,17 @@ def rotate(values: np.ndarray, by: int) -> np.ndarray:
     return values if not by else (values << np.uint64(by)) | (values >> np.uint64(64 - by))
 
 
-def trie_forest(
+def trie_forest(values: np.ndarray, rotation: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray, bits: int) -> np.ndarray:
+    """Component labels of the entries of many tries, joined as by trie_pairs()."""
+    steps = trie_pairs(values, rotation, lo, mid, hi, bits)
+    while True:
+        try:
+            next(steps)
+        except StopIteration as end:
+            return end.value
+
+
+def trie_pairs(
     values: np.ndarray,
     rotation: np.ndarray,
     lo: np.ndarray,
@@ -92,17 +102,17 @@ def trie_forest(
     hi: np.ndarray,
     bits: int,
     labels: np.ndarray | None = None,
-    visit: Callable[[np.ndarray, np.ndarray], None] | None = None,
-) -> np.ndarray:
-    """Component labels of the entries of many tries, joined with themselves.
+) -> Generator[tuple[np.ndarray, np.ndarray], None, np.ndarray]:
+    """All near pairs of entries whose `labels` differ, of many tries joined with themselves.
 
     Each trie is a range lo..hi of `values`, sorted. Where mid < hi the ranges
     lo..mid and mid..hi, each sorted, are two tries to be joined with each other.
-    With `visit`, all near pairs of entries whose `labels` differ are given to it
-    instead, and nothing is merged.
+    Without `labels`, near pairs are merged instead of returned, and the labels
+    of their components are the generator's value.
     """
     n, allowed = len(values), budgets(bits)
-    labels = np.arange(n) if labels is None else labels
+    merging = labels is None
+    labels = np.arange(n) if merging else labels
     changes = None
     cumulated: dict[int, np.ndarray] = {}
 
@@ -141,9 +151,9 @@ def trie_forest(
             i, j = s0[pair] + cell // width[pair], t0[pair] + cell % width[pair]
             near = np.bitwise_count(values[i] ^ values[j]) <= bits
             near &= labels[i] != labels[j]
-            if visit is not None:
-                twice = (s0 == t0)[pair] & (i > j)
-                visit(i[near & ~twice], j[near & ~twice])
+            if not merging:
+                near &= (s0 != t0)[pair] | (i < j)
+                yield i[near], j[near]
             elif near.any():
                 labels, changes = merge(labels, i[near], j[near]), None
             large = ~small
@@ -277,4 +287,4 @@ def op4_simhash_trie(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-__all__ = ["fingerprint", "keep_one", "links", "near_groups", "op4_simhash_trie", "trie_forest"]
+__all__ = ["fingerprint", "keep_one", "links", "near_groups", "op4_simhash_trie", "trie_forest", "trie_pairs"]

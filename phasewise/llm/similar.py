@@ -9,7 +9,8 @@ join's own task. What remains is compared shingle by shingle, and only pairs of
 There are two passes. In the first a text names its most similar candidates
 only, so a ball of near copies costs rows in its size, not in its square. The
 second joins again and takes every candidate pair that the first has not
-connected.
+connected. A pair is left out by the first only if both of its texts have as
+many candidates as they may name, so the second joins no other texts.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ SKETCH = 64
 SLACK = 0.15
 #: Candidates that a text names in the first pass.
 NAMED = 8
-#: Pairs that a task holds before it keeps the most similar ones.
+#: Pairs that a task holds before it keeps the most similar ones, or in the second pass returns them.
 HELD = 1 << 19
 #: Entries of tries that a task joins at once, about; a trie of more is joined alone.
 ENTRIES = 1 << 16
@@ -102,17 +103,6 @@ def candidates(nodes: DataFrame, bits: int, least: float, most: int | None) -> D
         minima = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
         held: list[tuple[np.ndarray, ...]] = []
 
-        def visit(i: np.ndarray, j: np.ndarray) -> None:
-            for a in range(0, len(i), 1 << 16):
-                p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-                s = (minima[p] == minima[q]).sum(axis=1, dtype=np.int32)
-                near = s >= least_equal
-                if near.any():
-                    p, q = node[p[near]], node[q[near]]
-                    held.append((np.minimum(p, q), np.maximum(p, q), s[near]))
-            if sum(len(x[0]) for x in held) > HELD:
-                held[:] = [shorter()]
-
         def shorter() -> tuple[np.ndarray, ...]:
             u, v, s = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((v, u))
@@ -123,14 +113,32 @@ def candidates(nodes: DataFrame, bits: int, least: float, most: int | None) -> D
             good = _named(u, v, s, most) if most else np.arange(len(u))
             return u[good], v[good], s[good]
 
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in shorter()], ["a", "b", "s"])
+
         lo = blocks.borders(trie)
         lo, hi = lo[:-1], lo[1:]
         mid = hi - np.add.reduceat(side.astype(np.int64), lo)
         _, labels = np.unique(root, return_inverse=True)
-        simhash.trie_forest(value, rot[lo].astype(np.int64), lo, mid, hi, bits, labels, visit)
+        n, limit = 0, HELD
+        for i, j in simhash.trie_pairs(value, rot[lo].astype(np.int64), lo, mid, hi, bits, labels):
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                s = (minima[p] == minima[q]).sum(axis=1, dtype=np.int32)
+                near = s >= least_equal
+                if near.any():
+                    p, q = node[p[near]], node[q[near]]
+                    held.append((np.minimum(p, q), np.maximum(p, q), s[near]))
+                    n += len(p)
+            if n > limit and most:
+                held[:] = [shorter()]
+                n = len(held[0][0])
+                limit = max(HELD, 2 * n)
+            elif n > limit:
+                yield made()
+                held, n = [], 0
         if held:
-            u, v, s = shorter()
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], ["a", "b", "s"])
+            yield made()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks.complete(batches, "trie", ENTRIES):
@@ -183,14 +191,17 @@ def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, bits: int =
         if links is None:
             rooted = nodes.withColumn("root", F.col("node"))
         else:
-            rooted = nodes.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rooted = nodes.join(full, "node", "left_semi").join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         pairs = scratch.keep(candidates(rooted, bits, least, most), "candidates")
         if most:
             u = W.partitionBy("a").orderBy(F.desc("s"), "b")
             v = W.partitionBy("b").orderBy(F.desc("s"), "a")
             ranked = pairs.withColumns({"m": F.row_number().over(u), "n": F.row_number().over(v)})
-            pairs = ranked.where((F.col("m") <= most) | (F.col("n") <= most)).drop("m", "n")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            pairs = scratch.keep(ranked.where((F.col("m") <= most) | (F.col("n") <= most)).drop("m", "n"), "named")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        if most:
+            full = scratch.keep(ends.groupBy("node").count().where(F.col("count") >= most).select("node"), "full")
+        wanted = ends.distinct()
         some = texts.join(wanted, "node", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
         some = scratch.keep(some.select("node", "text"), "texts")
         found = scratch.keep(verified(pairs, some, least, shingle), "similar")
