@@ -373,6 +373,90 @@ def mean_estimates(spark, sf_dir):
     return fit.select(parts[0].cast("long").alias("ref"), parts[1].cast("long").alias("n"), F.round("mu", 4).alias("mu"), F.round("alt_ll", 6).alias("alt_ll"))
 
 
+def _search_sql(name: str, by: str, start: str, data: str, nll: Callable[[str], str]) -> str:
+    """Golden sections of many functions in step. start: (by, a, h) of each; data: the rows whose nll is summed, with the columns `by`."""
+    g = "0.6180339887498949"
+    keys = [x.strip() for x in by.split(",")]
+    own = ", ".join(f"t.{x}" for x in keys)
+    return f"""
+{name}_0 AS (SELECT {by}, a, h, a + (1 - {g}) * h AS c, a + {g} * h AS d FROM ({start})),
+{name} AS (
+  SELECT {own}, 0 AS i, t.a, t.h, t.c, t.d, sum({nll("t.c")}) AS fc, sum({nll("t.d")}) AS fd FROM {name}_0 t JOIN {data} x USING ({by}) GROUP BY {own}, t.a, t.h, t.c, t.d
+  UNION ALL
+  SELECT {own}, t.i + 1, t.a, t.h, CASE WHEN t.l THEN t.p ELSE t.d END, CASE WHEN t.l THEN t.c ELSE t.p END,
+    CASE WHEN t.l THEN sum({nll("t.p")}) ELSE t.fd END, CASE WHEN t.l THEN t.fc ELSE sum({nll("t.p")}) END
+  FROM (
+    SELECT {by}, i, fc < fd AS l, CASE WHEN fc < fd THEN a ELSE c END AS a, h * {g} AS h, c, d, fc, fd,
+      CASE WHEN fc < fd THEN a + (1 - {g}) * h * {g} ELSE c + {g} * h * {g} END AS p
+    FROM {name} WHERE h > 1e-6) t JOIN {data} x USING ({by})
+  GROUP BY {own}, t.i, t.l, t.a, t.h, t.c, t.d, t.fc, t.fd, t.p
+),
+{name}_best AS (SELECT {by}, CASE WHEN fc < fd THEN c ELSE d END AS best, -least(fc, fd) AS ll FROM {name} WHERE h <= 1e-6)"""
+
+
+_HALF = "(0.5 * (1 - {r}) / {r})"
+_ROWS_SQL = """rows AS (SELECT chrom, pos, region, "GT", ref_count + 1 AS k, ref_count + alt_count + 2 AS n FROM counts WHERE ref_count + alt_count >= 10)"""
+
+
+def _null_sql(r: str) -> str:
+    return "-x.w * " + _PMF.format(k="x.k", n="x.n", a=_HALF.format(r=r), b=_HALF.format(r=r))
+
+
+def _dispersion_sql() -> str:
+    hist = """hist AS (SELECT 'all' AS sample, k, n, count(*) AS w FROM rows GROUP BY ALL UNION ALL SELECT 'd' || CAST(pos % 5 AS VARCHAR), k, n, count(*) FROM rows GROUP BY ALL)"""
+    start = "SELECT DISTINCT sample, CASE sample WHEN 'all' THEN 0.001 ELSE 1e-6 END::DOUBLE AS a, CASE sample WHEN 'all' THEN 0.998 ELSE 1 - 2e-6 END::DOUBLE AS h FROM hist"
+    return f"WITH RECURSIVE {A.COUNTS_SQL}, {_ROWS_SQL}, {hist}, {_search_sql('fit', 'sample', start, 'hist', _null_sql)} SELECT sample, round(best, 4) AS rho FROM fit_best"
+
+
+@query(_dispersion_sql())
+def dispersion_estimates(spark, sf_dir):
+    """Dispersions under the null: of all variants, and of each donor's."""
+    c = A.counts(spark, sf_dir).withColumn("donor_id", F.concat(F.lit("d"), F.col("pos") % 5))
+    one = imbalance.fit_dispersion(imbalance.prepared(c, "region", 10, 1, False, True, None))
+    each = imbalance.fit_donor_dispersion(imbalance.prepared(c, "region", 10, 1, False, False, "donor_id"))
+    rho = spark.createDataFrame([("all", one)], "sample string, rho double").union(each)
+    return rho.select("sample", F.round("rho", 4).alias("rho"))
+
+
+def _ratio_sql() -> str:
+    def pmf(m: str) -> str:
+        s = "((1 - rho) / rho)"
+        return _PMF.format(k="x.k", n="x.n", a=f"({m} * {s})", b=f"((1 - {m}) * {s})")
+
+    def nll(m: str) -> str:
+        up, down = pmf(m), pmf(f"(1 - {m})")
+        mixed = f"(ln(0.5) + greatest({up}, {down}) + ln(1 + exp(-abs({up} - {down}))))"
+        return f"-CASE WHEN x.way = 'same' THEN {up} WHEN x.way = 'flipped' THEN {down} ELSE {mixed} END"
+
+    hist = "hist AS (SELECT 'all' AS sample, k, n, count(*) AS w FROM rows GROUP BY ALL)"
+    rho = _search_sql("fit", "sample", "SELECT 'all' AS sample, 0.001::DOUBLE AS a, 0.998::DOUBLE AS h", "hist", _null_sql)
+    terms = """firsts AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY chrom, pos) AS nth, first_value("GT") OVER (PARTITION BY region ORDER BY chrom, pos) AS head FROM rows),
+cells AS (
+  SELECT phased, region, k, n, (SELECT best FROM fit_best) AS rho, CASE WHEN nth = 1 OR (phased AND "GT" = head) THEN 'same' WHEN phased THEN 'flipped' ELSE 'mixed' END AS way
+  FROM firsts, (VALUES (true), (false)) p(phased)
+)"""
+    means = _search_sql("means", "phased, region", "SELECT DISTINCT phased, region, 0.0::DOUBLE AS a, 1.0::DOUBLE AS h FROM cells", "cells", nll)
+    return f"""WITH RECURSIVE {A.COUNTS_SQL}, {_ROWS_SQL}, {hist}, {rho}, {terms}, {means},
+nulls AS (SELECT phased, region, count(*) AS snp_count, sum({pmf("0.5")}) AS null_ll FROM cells x GROUP BY ALL)
+SELECT phased, region, snp_count, round(abs(best - 0.5), 2) AS deviation, round(null_ll, 3) AS null_ll, round(ll, 3) AS alt_ll, round(greatest(2 * (ll - null_ll), 0.0) + 0.0, 3) AS lrt
+FROM means_best JOIN nulls USING (phased, region)"""
+
+
+@query(_ratio_sql())
+def likelihood_ratios(spark, sf_dir):
+    """Likelihood-ratio tests of regions at the fitted dispersion, with phases and without.
+
+    The mean's distance from one half is compared: without phases the
+    likelihood hardly tells a mean from its complement.
+    """
+    out = []
+    for phased in (True, False):
+        found = imbalance.find_imbalance(A.counts(spark, sf_dir), phased=phased)
+        rounded = [F.round(c, 3).alias(c) for c in ("null_ll", "alt_ll", "lrt")]
+        out.append(found.select(F.lit(phased).alias("phased"), "region", "snp_count", F.round(F.abs(F.col("mu") - 0.5), 2).alias("deviation"), *rounded))
+    return out[0].union(out[1])
+
+
 @query("""
 WITH p AS (SELECT o_orderkey AS k, o_orderpriority AS g, (o_orderkey * 31 % 9973 + 1) / 10000.0::DOUBLE AS pval FROM orders),
 r AS (SELECT *, count(*) OVER (PARTITION BY g) AS m, rank() OVER (PARTITION BY g ORDER BY pval DESC) AS down FROM p),
