@@ -418,16 +418,19 @@ def dispersion_estimates(spark, sf_dir):
     return rho.select("sample", F.round("rho", 4).alias("rho"))
 
 
-def _ratio_sql() -> str:
-    def pmf(m: str) -> str:
-        s = "((1 - rho) / rho)"
-        return _PMF.format(k="x.k", n="x.n", a=f"({m} * {s})", b=f"((1 - {m}) * {s})")
+def _mean_pmf(m: str) -> str:
+    s = "((1 - rho) / rho)"
+    return _PMF.format(k="x.k", n="x.n", a=f"({m} * {s})", b=f"((1 - {m}) * {s})")
+
 
-    def nll(m: str) -> str:
-        up, down = pmf(m), pmf(f"(1 - {m})")
-        mixed = f"(ln(0.5) + greatest({up}, {down}) + ln(1 + exp(-abs({up} - {down}))))"
-        return f"-CASE WHEN x.way = 'same' THEN {up} WHEN x.way = 'flipped' THEN {down} ELSE {mixed} END"
+def _mean_nll(m: str) -> str:
+    """way: at the mean, at its complement, or evenly mixed."""
+    up, down = _mean_pmf(m), _mean_pmf(f"(1 - {m})")
+    mixed = f"(ln(0.5) + greatest({up}, {down}) + ln(1 + exp(-abs({up} - {down}))))"
+    return f"-CASE WHEN x.way = 'same' THEN {up} WHEN x.way = 'flipped' THEN {down} ELSE {mixed} END"
 
+
+def _ratio_sql() -> str:
     hist = "hist AS (SELECT 'all' AS sample, k, n, count(*) AS w FROM rows GROUP BY ALL)"
     rho = _search_sql("fit", "sample", "SELECT 'all' AS sample, 0.001::DOUBLE AS a, 0.998::DOUBLE AS h", "hist", _null_sql)
     terms = """firsts AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY chrom, pos) AS nth, first_value("GT") OVER (PARTITION BY region ORDER BY chrom, pos) AS head FROM rows),
@@ -435,9 +438,9 @@ cells AS (
   SELECT phased, region, k, n, (SELECT best FROM fit_best) AS rho, CASE WHEN nth = 1 OR (phased AND "GT" = head) THEN 'same' WHEN phased THEN 'flipped' ELSE 'mixed' END AS way
   FROM firsts, (VALUES (true), (false)) p(phased)
 )"""
-    means = _search_sql("means", "phased, region", "SELECT DISTINCT phased, region, 0.0::DOUBLE AS a, 1.0::DOUBLE AS h FROM cells", "cells", nll)
+    means = _search_sql("means", "phased, region", "SELECT DISTINCT phased, region, 0.0::DOUBLE AS a, 1.0::DOUBLE AS h FROM cells", "cells", _mean_nll)
     return f"""WITH RECURSIVE {A.COUNTS_SQL}, {_ROWS_SQL}, {hist}, {rho}, {terms}, {means},
-nulls AS (SELECT phased, region, count(*) AS snp_count, sum({pmf("0.5")}) AS null_ll FROM cells x GROUP BY ALL)
+nulls AS (SELECT phased, region, count(*) AS snp_count, sum({_mean_pmf("0.5")}) AS null_ll FROM cells x GROUP BY ALL)
 SELECT phased, region, snp_count, round(abs(best - 0.5), 2) AS deviation, round(null_ll, 3) AS null_ll, round(ll, 3) AS alt_ll, round(greatest(2 * (ll - null_ll), 0.0) + 0.0, 3) AS lrt
 FROM means_best JOIN nulls USING (phased, region)"""
 
@@ -519,6 +522,59 @@ def compare_imbalance(spark, sf_dir):
     return cell_ops.compare_groups(A.coo(spark, sf_dir), A.snps(spark), A.features(spark), A.cells(spark, sf_dir))
 
 
+_CELL_FIT_SQL = f"""totals AS (
+  SELECT i AS snp_idx, CAST(coalesce(sum(ref), 0) + 1 AS BIGINT) AS k, CAST(coalesce(sum(ref + alt), 0) + 2 AS BIGINT) AS n FROM range(97) r(i) LEFT JOIN coo ON snp_idx = i GROUP BY i
+),
+hist AS (SELECT 'all' AS sample, k, n, count(*) AS w FROM totals GROUP BY k, n),
+{_search_sql("fit", "sample", "SELECT 'all' AS sample, 1e-6::DOUBLE AS a, (1 - 2e-6)::DOUBLE AS h", "hist", _null_sql)},
+sums AS (
+  SELECT "group", snp_idx, 'F' || CAST(snp_idx % 12 AS VARCHAR) AS region, snp_idx % 2 AS gt, CAST(sum(ref) + 1 AS BIGINT) AS k, CAST(sum(ref + alt) + 2 AS BIGINT) AS n
+  FROM coo JOIN cells USING (bc_idx) GROUP BY "group", snp_idx HAVING sum(ref + alt) > 0
+)"""
+
+
+def _group_ratio_sql() -> str:
+    by = '"group", region'
+    means = _search_sql("means", by, f"SELECT DISTINCT {by}, 0.0::DOUBLE AS a, 1.0::DOUBLE AS h FROM terms", "terms", _mean_nll)
+    return f"""WITH RECURSIVE {A.CELLS_SQL}, {_CELL_FIT_SQL},
+heads AS (SELECT *, first_value(gt) OVER (PARTITION BY {by} ORDER BY snp_idx) AS head, count(*) OVER (PARTITION BY {by}) AS m, sum(n) OVER (PARTITION BY {by}) AS total FROM sums),
+terms AS (SELECT {by}, k, n, (SELECT best FROM fit_best) AS rho, CASE WHEN gt = head THEN 'same' ELSE 'flipped' END AS way FROM heads WHERE total >= 2 * m + 10),
+{means},
+known AS (SELECT {by}, count(*) AS num_snps, sum({_mean_pmf("0.5")}) AS null_ll, sum({_mean_pmf("(x.k::DOUBLE / x.n)")}) AS one_ll FROM terms x GROUP BY {by})
+SELECT {by}, num_snps, round(null_ll, 3) AS null_ll, round(CASE num_snps WHEN 1 THEN one_ll ELSE ll END, 3) AS alt_ll
+FROM means_best JOIN known USING ({by})"""
+
+
+@query(_group_ratio_sql())
+def group_likelihoods(spark, sf_dir):
+    """Likelihoods of regions in groups of cells, at the dispersion of all variants."""
+    out = find_imbalance_cells(spark, sf_dir)
+    return out.select("group", "region", "num_snps", F.round("null_ll", 3).alias("null_ll"), F.round("alt_ll", 3).alias("alt_ll"))
+
+
+def _pair_ratio_sql() -> str:
+    by = "group1, group2, region"
+    keys = f"{by}, side"
+    means = _search_sql("means", keys, f"SELECT DISTINCT {keys}, 0.0::DOUBLE AS a, 1.0::DOUBLE AS h FROM terms", "terms", _mean_nll)
+    return f"""WITH RECURSIVE {A.CELLS_SQL}, {_CELL_FIT_SQL},
+many AS (SELECT * FROM sums WHERE n > 12),
+shared AS (
+  SELECT a."group" AS group1, b."group" AS group2, a.region, a.k AS k1, a.n AS n1, b.k AS k2, b.n AS n2, row_number() OVER (PARTITION BY a."group", b."group", a.region ORDER BY a.snp_idx) AS nth
+  FROM many a JOIN many b ON a.snp_idx = b.snp_idx AND a."group" < b."group"
+),
+sides AS (SELECT {by}, nth, 1 AS own, k1 AS k, n1 AS n FROM shared UNION ALL SELECT {by}, nth, 2, k2, n2 FROM shared),
+terms AS (SELECT {keys}, k, n, (SELECT best FROM fit_best) AS rho, CASE nth WHEN 1 THEN 'same' ELSE 'mixed' END AS way FROM sides JOIN (VALUES (1, 1), (2, 2), (1, 3), (2, 3)) s(own, side) USING (own)),
+{means},
+sizes AS (SELECT {by}, count(*) AS num_snps FROM shared GROUP BY {by})
+SELECT {by}, any_value(num_snps) AS num_snps, round(sum(ll) FILTER (side = 3), 3) AS null_ll, round(sum(ll) FILTER (side < 3), 3) AS alt_ll FROM means_best JOIN sizes USING ({by}) GROUP BY {by}"""
+
+
+@query(_pair_ratio_sql())
+def pair_likelihoods(spark, sf_dir):
+    """Likelihoods of regions under one mean of two groups of cells, and under one for each."""
+    return compare_imbalance(spark, sf_dir).select("group1", "group2", "region", "num_snps", F.round("null_ll", 3).alias("null_ll"), F.round("alt_ll", 3).alias("alt_ll"))
+
+
 # Expression, fragments, export ----------------------------------------------------------------
 
 
