@@ -29,7 +29,9 @@ SEED = 42
 #: Fingerprints in one trie; a larger bucket is joined as pairs of chunks.
 TRIE_ROWS = 1 << 16
 #: Node pairs that are expanded at once.
-FRONTIER = 1 << 14
+FRONTIER = 1 << 16
+#: The same where pairs are returned; merging costs time for each step, so it takes larger ones.
+PAIRS_FRONTIER = 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -129,7 +131,7 @@ def trie_pairs(
     stack = [(0, lo, first, second, hi, np.zeros(len(lo), np.int8), rotation)]
     while stack:
         depth, a0, a1, b0, b1, err, rot = stack.pop()
-        if len(a0) > FRONTIER:
+        if len(a0) > (FRONTIER if merging else PAIRS_FRONTIER):
             half = len(a0) // 2
             stack.append((depth, *(x[half:] for x in (a0, a1, b0, b1, err, rot))))
             stack.append((depth, *(x[:half] for x in (a0, a1, b0, b1, err, rot))))
