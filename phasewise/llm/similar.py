@@ -10,12 +10,15 @@ There are two passes. In the first a text names its most similar candidates
 only, so a ball of near copies costs rows in its size, not in its square. The
 second joins again and takes every candidate pair that the first has not
 connected. A pair is left out by the first only if both of its texts have as
-many candidates as they may name, so the second joins no other texts.
+many candidates as they may name, so the second joins no other texts. These have
+a longer sketch there: in a ball of texts a little below the threshold all pairs
+are unconnected, and a short one lets most of them through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,9 @@ SEED = 42
 SKETCH = 64
 #: Share of equal minima below which a pair is no candidate, less than the least similarity by three deviations.
 SLACK = 0.15
+#: Minima in a sketch of the second pass, and the slack with it, four deviations.
+LONG_SKETCH = 512
+LONG_SLACK = 0.07
 #: Candidates that a text names in the first pass.
 NAMED = 8
 #: Pairs that a task holds before it keeps the most similar ones, or in the second pass returns them.
@@ -53,14 +59,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-_ODD = np.random.default_rng(17).integers(0, 1 << 63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+@cache
+def _odd(size: int) -> np.ndarray:
+    return np.random.default_rng(17).integers(0, 1 << 63, (2, size), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """The lowest byte of each of SKETCH minima; zeros without shingles."""
-    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):
-        mixed = hashes[at : at + (1 << 12), None] * _ODD[0] + _ODD[1]
+def sketch(hashes: np.ndarray, size: int = SKETCH) -> bytes:
+    """The lowest byte of each of `size` minima; zeros without shingles."""
+    low, step = np.full(size, np.iinfo(np.uint64).max, np.uint64), (1 << 18) // size
+    for at in range(0, len(hashes), step):
+        mixed = hashes[at : at + step, None] * _odd(size)[0] + _odd(size)[1]
         mixed ^= mixed >> np.uint64(32)
         np.minimum(low, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0), out=low)
     return ((low ^ (low >> np.uint64(29))) & np.uint64(255)).astype(np.uint8).tobytes()
@@ -89,10 +97,21 @@ def _named(u: np.ndarray, v: np.ndarray, s: np.ndarray, most: int) -> np.ndarray
     return np.flatnonzero(good)
 
 
-def candidates(nodes: DataFrame, bits: int, least: float, most: int | None) -> DataFrame:
-    """Pairs (a, b, s) of `nodes` (node, fp, sketch, root) with different roots; s counts equal minima."""
+def long_sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, sketch) of `texts` (node, text) with LONG_SKETCH minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([sketch(shingles(t.as_py(), shingle), LONG_SKETCH) for t in batch["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["node"], made], ["node", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, sketch binary")
+
+
+def candidates(nodes: DataFrame, bits: int, least_equal: int, most: int | None, size: int = SKETCH) -> DataFrame:
+    """Pairs (a, b, s) of `nodes` (node, fp, sketch, root) with different roots; s, `least_equal` or more, counts equal minima of `size`."""
     spark = nodes.sparkSession
-    least_equal = int(np.ceil((least - SLACK) * SKETCH))
+    step = (1 << 22) // size
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         value = table["value"].to_numpy().view(np.uint64)
@@ -100,7 +119,7 @@ def candidates(nodes: DataFrame, bits: int, least: float, most: int | None) -> D
         order = np.lexsort((value, side, trie))
         value, trie, side, rot, node, root = (x[order] for x in (value, trie, side, rot, node, root))
         column = table["sketch"].combine_chunks()
-        minima = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
+        minima = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)[order]
         held: list[tuple[np.ndarray, ...]] = []
 
         def shorter() -> tuple[np.ndarray, ...]:
@@ -122,8 +141,8 @@ def candidates(nodes: DataFrame, bits: int, least: float, most: int | None) -> D
         _, labels = np.unique(root, return_inverse=True)
         n, limit = 0, HELD
         for i, j in simhash.trie_pairs(value, rot[lo].astype(np.int64), lo, mid, hi, bits, labels):
-            for at in range(0, len(i), 1 << 16):
-                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            for at in range(0, len(i), step):
+                p, q = i[at : at + step], j[at : at + step]
                 s = (minima[p] == minima[q]).sum(axis=1, dtype=np.int32)
                 near = s >= least_equal
                 if near.any():
@@ -141,7 +160,7 @@ def candidates(nodes: DataFrame, bits: int, least: float, most: int | None) -> D
             yield made()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks.complete(batches, "trie", ENTRIES):
+        for table in blocks.complete(batches, "trie", ENTRIES * SKETCH // size):
             yield from pairs(table)
 
     dealt = simhash.turned(nodes, bits, ["node", "root", "sketch"], simhash.TRIE_ROWS)
@@ -189,10 +208,13 @@ def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, bits: int =
     links = None
     for most in (NAMED, None):
         if links is None:
-            rooted = nodes.withColumn("root", F.col("node"))
+            rooted, size, slack = nodes.withColumn("root", F.col("node")), SKETCH, SLACK
         else:
-            rooted = nodes.join(full, "node", "left_semi").join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = scratch.keep(candidates(rooted, bits, least, most), "candidates")
+            sketched = scratch.keep(long_sketches(some.join(full, "node", "left_semi"), shingle), "sketches")
+            rooted = nodes.select("node", "fp").join(sketched, "node").join(connected(links), "node", "left")
+            rooted, size, slack = rooted.withColumn("root", F.coalesce("root", "node")), LONG_SKETCH, LONG_SLACK
+        least_equal = int(np.ceil((least - slack) * size))
+        pairs = scratch.keep(candidates(rooted, bits, least_equal, most, size), "candidates")
         if most:
             u = W.partitionBy("a").orderBy(F.desc("s"), "b")
             v = W.partitionBy("b").orderBy(F.desc("s"), "a")

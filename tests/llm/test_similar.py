@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from phasewise.llm import similar
 
 
@@ -38,3 +40,39 @@ def test_texts_below_the_similarity_stay(spark):
     assert similar.similarity(similar.shingles(" ".join(text)), similar.shingles(" ".join(other))) < 0.8
     df = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(other))], "doc_id long, text string")
     assert similar.keep_one(df).count() == 2
+
+
+def test_second_pass_finds_what_the_first_does_not_name(spark, monkeypatch):
+    """A ball of texts around the threshold: components are those of all pairs, however few a text may name."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for d in range(40):
+        text = list(base)
+        for at in rng.sample(range(200), 3):
+            text[at] = f"x{d}"
+        texts.append(" ".join(text))
+    cut = [similar.shingles(t) for t in texts]
+    group = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if similar.similarity(cut[i], cut[j]) >= 0.8 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    lowest = sorted(min(i for i in range(40) if group[i] == g) for g in set(group))
+    monkeypatch.setattr(similar, "NAMED", 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # At 64 bits every pair meets in the trie join, so the sketches alone could lose a link.
+    got = [r["doc_id"] for r in similar.keep_one(df, bits=40).collect()]
+    assert sorted(got) == lowest and 1 < len(lowest) < 40
+
+
+def test_long_sketch_estimates_the_similarity():
+    rng = random.Random(7)
+    for share in (0.6, 0.8, 0.9):
+        a = [rng.getrandbits(64) for _ in range(1000)]
+        b = a[: int(2000 * share / (1 + share))]
+        b += [rng.getrandbits(64) for _ in range(1000 - len(b))]
+        x, y = (np.unique(np.array(t, np.uint64)) for t in (a, b))
+        u, v = (np.frombuffer(similar.sketch(t, similar.LONG_SKETCH), np.uint8) for t in (x, y))
+        assert len(u) == similar.LONG_SKETCH
+        assert abs((u == v).mean() - similar.similarity(x, y)) < similar.LONG_SLACK
