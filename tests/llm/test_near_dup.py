@@ -325,3 +325,43 @@ def test_descent_and_search_end_when_nothing_gets_better(spark):
 def test_deals_and_beam_grow_with_the_table():
     small, large = (neighbours.sized(neighbours.Settings(), n) for n in (1000, 1_000_000))
     assert small == neighbours.Settings() and large.trees > 8 and large.beam > 1000
+
+
+def test_parts_of_deals_descent_and_search_are_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(1200, 8)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    cut: list[int] = []
+    plain = neighbours.parts
+    monkeypatch.setattr(neighbours, "MOVED", 0)
+    monkeypatch.setattr(neighbours, "parts", lambda *a: cut.append(min(3, plain(*a))) or cut[-1])
+    small = neighbours.Settings(degree=10, trees=4, leaf=64, reverse=8, beam=80, expand=40)
+    got = neighbours.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 10, small).collect()
+    assert cut == [3, 3, 3]
+    want = exact(rows, 10)
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, k) for q in sorted(want) for k in range(1, 11)]
+    true = {(q, j) for q, found in want.items() for j, _ in found}
+    assert len(true & {(r["query_id"], r["vec_id"]) for r in got}) / len(true) > 0.95
+
+
+def test_pairs_travel_without_vectors(spark, monkeypatch):
+    """A node's vector is not shuffled for every query that looks at it."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plans = []
+    plain = neighbours._products
+    monkeypatch.setattr(neighbours, "_products", lambda pairs: plans.append(pairs._jdf.queryExecution().executedPlan().toString()) or plain(pairs))
+    neighbours.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0).count()
+    assert plans and all("BroadcastHashJoin" in p for p in plans)
+
+
+def test_best_of_edges_in_steps():
+    rng = np.random.default_rng(8)
+    src, dst = rng.integers(0, 20, (2, 3000))
+    sim = (src * 31 + dst * 17) % 101 / np.float32(101)
+    whole = neighbours._best_of([(src, dst, sim)], 5)
+    steps = neighbours._best_of([(src[:1500], dst[:1500], sim[:1500])], 5)
+    steps = neighbours._best_of([steps, (src[1500:], dst[1500:], sim[1500:])], 5)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, steps, strict=True))
+    assert np.bincount(whole[0]).tolist() == [5] * 20
