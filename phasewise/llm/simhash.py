@@ -104,13 +104,14 @@ def trie_pairs(
     hi: np.ndarray,
     bits: int,
     labels: np.ndarray | None = None,
-) -> Generator[tuple[np.ndarray, np.ndarray], None, np.ndarray]:
+) -> Generator[tuple[np.ndarray, np.ndarray], np.ndarray | None, np.ndarray]:
     """All near pairs of entries whose `labels` differ, of many tries joined with themselves.
 
     Each trie is a range lo..hi of `values`, sorted. Where mid < hi the ranges
     lo..mid and mid..hi, each sorted, are two tries to be joined with each other.
     Without `labels`, near pairs are merged instead of returned, and the labels
-    of their components are the generator's value.
+    of their components are the generator's value. New labels may be sent in
+    answer to pairs.
     """
     n, allowed = len(values), budgets(bits)
     merging = labels is None
@@ -155,7 +156,9 @@ def trie_pairs(
             near &= labels[i] != labels[j]
             if not merging:
                 near &= (s0 != t0)[pair] | (i < j)
-                yield i[near], j[near]
+                fresh = yield i[near], j[near]
+                if fresh is not None:
+                    labels, changes = fresh, None
             elif near.any():
                 labels, changes = merge(labels, i[near], j[near]), None
             large = ~small

@@ -3,16 +3,16 @@
 SimHash fingerprints of five-word shingles that differ in at most `bits` places,
 found by the trie join of `simhash`, are candidates. A sketch of minima, which
 travels with the fingerprint, leaves out pairs far from the threshold in the
-join's own task. What remains is compared shingle by shingle, and only pairs of
-`least` or more are linked.
-
-There are two passes. In the first a text names its most similar candidates
-only, so a ball of near copies costs rows in its size, not in its square. The
-second joins again and takes every candidate pair that the first has not
-connected. A pair is left out by the first only if both of its texts have as
-many candidates as they may name, so the second joins no other texts. These have
-a longer sketch there: in a ball of texts a little below the threshold all pairs
-are unconnected, and a short one lets most of them through.
+join's own task. Texts are compared shingle by shingle in the end, and only
+pairs of `least` or more are linked.
+
+A task of that join returns a spanning forest of its candidate pairs, so a ball
+of near copies costs rows in its size, not in its square. All texts of a
+component of candidates then meet, each once, and are compared with each other
+where their fingerprints and sketches are near: first with those that look most
+similar, then with all that are not yet connected. Here too only a spanning
+forest is returned. A component of very many texts is cut into chunks, and every
+pair of chunks meets.
 """
 
 from __future__ import annotations
@@ -28,20 +28,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import blocks, rows, scratch, simhash, skew
-from .components import connected
+from .components import connected, merge
 
 SEED = 42
 #: Minima in a sketch, a byte of each.
 SKETCH = 64
 #: Share of equal minima below which a pair is no candidate, less than the least similarity by three deviations.
 SLACK = 0.15
-#: Minima in a sketch of the second pass, and the slack with it, four deviations.
+#: Minima in a sketch that estimates a similarity closely, and four deviations of it.
 LONG_SKETCH = 512
 LONG_SLACK = 0.07
-#: Candidates that a text names in the first pass.
+#: Most similar candidates that a text of a component is compared with first.
 NAMED = 8
-#: Pairs that a task holds before it keeps the most similar ones, or in the second pass returns them.
-HELD = 1 << 19
+#: Texts and characters in a chunk of a component.
+CHUNK, CHUNK_CHARS = 1 << 10, 1 << 23
 #: Entries of tries that a task joins at once, about; a trie of more is joined alone.
 ENTRIES = 1 << 16
 
@@ -86,107 +86,108 @@ def _described(texts: pa.Array, shingle: int) -> list[pa.Array]:
     return [*signed, pa.array(minima, pa.binary())]
 
 
-def _named(u: np.ndarray, v: np.ndarray, s: np.ndarray, most: int) -> np.ndarray:
-    """Places of the pairs that are among the `most` most similar of either side."""
-    good = np.zeros(len(u), bool)
-    both, place, score = np.concatenate((u, v)), np.tile(np.arange(len(u)), 2), np.tile(s, 2)
-    order = np.lexsort((place, -score, both))
-    at = blocks.borders(both[order])
-    rank = np.arange(len(order)) - np.repeat(at[:-1], np.diff(at))
-    good[place[order[rank < most]]] = True
-    return np.flatnonzero(good)
+def _forest(names: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
+    """Links (a, b) of what `labels` (places in `names`) connect."""
+    linked = np.flatnonzero(labels != np.arange(len(labels)))
+    a, b = names[linked], names[labels[linked]]
+    differ = a != b
+    links = np.unique(np.stack((a[differ], b[differ])), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in links], ["a", "b"])
 
 
-def long_sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, sketch) of `texts` (node, text) with LONG_SKETCH minima."""
+def candidates(nodes: DataFrame, bits: int, least_equal: int) -> DataFrame:
+    """Spanning links (a, b) of the pairs of `nodes` (node, fp, sketch) with near fingerprints and `least_equal` equal minima or more."""
+    step = (1 << 22) // SKETCH
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array([sketch(shingles(t.as_py(), shingle), LONG_SKETCH) for t in batch["text"]], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["node"], made], ["node", "sketch"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, sketch binary")
-
-
-def candidates(nodes: DataFrame, bits: int, least_equal: int, most: int | None, size: int = SKETCH) -> DataFrame:
-    """Pairs (a, b, s) of `nodes` (node, fp, sketch, root) with different roots; s, `least_equal` or more, counts equal minima of `size`."""
-    spark = nodes.sparkSession
-    step = (1 << 22) // size
-
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def forest(table: pa.Table) -> pa.RecordBatch:
         value = table["value"].to_numpy().view(np.uint64)
-        trie, side, rot, node, root = (table[x].to_numpy() for x in ("trie", "side", "rot", "node", "root"))
+        trie, side, rot, node = (table[x].to_numpy() for x in ("trie", "side", "rot", "node"))
         order = np.lexsort((value, side, trie))
-        value, trie, side, rot, node, root = (x[order] for x in (value, trie, side, rot, node, root))
+        value, trie, side, rot, node = (x[order] for x in (value, trie, side, rot, node))
         column = table["sketch"].combine_chunks()
-        minima = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)[order]
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def shorter() -> tuple[np.ndarray, ...]:
-            u, v, s = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((v, u))
-            u, v, s = u[order], v[order], s[order]
-            new = np.ones(len(u), bool)
-            new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-            u, v, s = u[new], v[new], s[new]
-            good = _named(u, v, s, most) if most else np.arange(len(u))
-            return u[good], v[good], s[good]
-
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in shorter()], ["a", "b", "s"])
-
+        minima = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
         lo = blocks.borders(trie)
         lo, hi = lo[:-1], lo[1:]
         mid = hi - np.add.reduceat(side.astype(np.int64), lo)
-        _, labels = np.unique(root, return_inverse=True)
-        n, limit = 0, HELD
-        for i, j in simhash.trie_pairs(value, rot[lo].astype(np.int64), lo, mid, hi, bits, labels):
+        # One node has one label, in whatever tries it is.
+        _, first, of = np.unique(node, return_index=True, return_inverse=True)
+        labels = first[of]
+        steps = simhash.trie_pairs(value, rot[lo].astype(np.int64), lo, mid, hi, bits, labels)
+        fresh = None
+        while True:
+            try:
+                i, j = steps.send(fresh)
+            except StopIteration:
+                return _forest(node, labels)
+            fresh = None
             for at in range(0, len(i), step):
                 p, q = i[at : at + step], j[at : at + step]
-                s = (minima[p] == minima[q]).sum(axis=1, dtype=np.int32)
-                near = s >= least_equal
+                near = (minima[p] == minima[q]).sum(axis=1, dtype=np.int32) >= least_equal
                 if near.any():
-                    p, q = node[p[near]], node[q[near]]
-                    held.append((np.minimum(p, q), np.maximum(p, q), s[near]))
-                    n += len(p)
-            if n > limit and most:
-                held[:] = [shorter()]
-                n = len(held[0][0])
-                limit = max(HELD, 2 * n)
-            elif n > limit:
-                yield made()
-                held, n = [], 0
-        if held:
-            yield made()
+                    fresh = labels = merge(labels, p[near], q[near])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks.complete(batches, "trie", ENTRIES * SKETCH // size):
-            yield from pairs(table)
-
-    dealt = simhash.turned(nodes, bits, ["node", "root", "sketch"], simhash.TRIE_ROWS)
-    dealt = dealt.repartition(scratch.partitions(spark), "trie").sortWithinPartitions("trie")
-    return dealt.mapInArrow(run, "a long, b long, s int").distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """The (a, b) of `pairs` whose texts (node, text) are `least` similar or more."""
+        for table in blocks.complete(batches, "trie", ENTRIES):
+            yield forest(table)
+
+    dealt = simhash.turned(nodes, bits, ["node", "sketch"], simhash.TRIE_ROWS)
+    dealt = dealt.repartition(scratch.partitions(nodes.sparkSession), "trie").sortWithinPartitions("trie")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _similar(fp: np.ndarray, minima: np.ndarray, cut: list[np.ndarray], side: np.ndarray, least: float, bits: int, least_equal: int) -> np.ndarray:
+    """Component labels of texts, `least` similar or more being linked; where both sides occur, pairs have one of each."""
+    n = len(fp)
+    size = np.array([len(x) for x in cut], np.int64)
+    _, code = np.unique(np.concatenate(cut), return_inverse=True)
+    own = np.split(code, np.cumsum(size)[:-1])
+    marked = np.zeros(len(code), bool)
+    labels = np.arange(n)
+    two = side.min() != side.max()
+    for most in (NAMED, n):
+        for i in range(n):
+            if two and side[i]:
+                continue
+            j = np.flatnonzero(side) if two else np.arange(i + 1, n)
+            j = j[(labels[j] != labels[i]) & (np.bitwise_count(fp[j] ^ fp[i]) <= bits)]
+            equal = (minima[j] == minima[i]).sum(axis=1, dtype=np.int32)
+            j, equal = j[equal >= least_equal], equal[equal >= least_equal]
+            if len(j) > most:
+                j = j[np.argsort(-equal, kind="stable")[:most]]
+            if not len(j):
+                continue
+            marked[own[i]] = True
+            total = np.concatenate(([0], np.cumsum(marked[np.concatenate([own[k] for k in j])])))
+            marked[own[i]] = False
+            end = np.cumsum(size[j])
+            both = total[end] - total[end - size[j]]
+            good = both / np.maximum(1, size[i] + size[j] - both) >= least
+            if good.any():
+                labels = merge(labels, np.full(good.sum(), i), j[good])
+    return labels
+
+
+def verified(texts: DataFrame, least: float, shingle: int, bits: int, least_equal: int) -> DataFrame:
+    """Spanning links (a, b) of `texts` (node, fp, sketch, root, text), a kept table, that are `least` similar or more and have one root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-            for a, x, y in zip(batch["a"].to_pylist(), batch["x"], batch["y"], strict=True):
-                if last[0] != a:
-                    last = (a, shingles(x.as_py(), shingle))
-                good.append(similarity(last[1], shingles(y.as_py(), shingle)) >= least)
-            kept = batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-            yield kept
-
-    x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    # Few texts are in a pair; the others are not shuffled.
-    both = pairs.select("a", "b").join(y, "b").join(x, "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        for table in blocks.complete(batches, "met", CHUNK):
+            at = blocks.borders(table["met"].to_numpy())
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                rows = table.slice(a, b - a)
+                fp, node, side = (rows[x].to_numpy() for x in ("fp", "node", "side"))
+                minima = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+                cut = [shingles(t.as_py(), shingle) for t in rows["text"]]
+                yield _forest(node, _similar(fp.view(np.uint64), minima, cut, side, least, bits, least_equal))
+
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.length("text")) / CHUNK_CHARS)).cast("int")
+    large = scratch.keep(texts.groupBy("root").agg(chunks.alias("c")).where("c > 1"), "large-components")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("c", F.lit(1))).cast("int")
+    met = texts.join(large, "root", "left").withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), F.coalesce("c", F.lit(1)) - 1)))
+    key = F.xxhash64("root", F.least("x", "y"), F.greatest("x", "y")).alias("met")
+    dealt = met.select(key, (F.col("x") > F.col("y")).cast("byte").alias("side"), "node", "fp", "sketch", "text")
+    dealt = dealt.repartition(scratch.partitions(texts.sparkSession), "met").sortWithinPartitions("met")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, bits: int = 16) -> DataFrame:
@@ -205,28 +206,12 @@ def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, bits: int =
     nodes = scratch.keep(nodes, "nodes")
     first = W.partitionBy("node").orderBy("text")
     texts = described.select(F.col("__node").alias("node"), own.alias("text"))
-    links = None
-    for most in (NAMED, None):
-        if links is None:
-            rooted, size, slack = nodes.withColumn("root", F.col("node")), SKETCH, SLACK
-        else:
-            sketched = scratch.keep(long_sketches(some.join(full, "node", "left_semi"), shingle), "sketches")
-            rooted = nodes.select("node", "fp").join(sketched, "node").join(connected(links), "node", "left")
-            rooted, size, slack = rooted.withColumn("root", F.coalesce("root", "node")), LONG_SKETCH, LONG_SLACK
-        least_equal = int(np.ceil((least - slack) * size))
-        pairs = scratch.keep(candidates(rooted, bits, least_equal, most, size), "candidates")
-        if most:
-            u = W.partitionBy("a").orderBy(F.desc("s"), "b")
-            v = W.partitionBy("b").orderBy(F.desc("s"), "a")
-            ranked = pairs.withColumns({"m": F.row_number().over(u), "n": F.row_number().over(v)})
-            pairs = scratch.keep(ranked.where((F.col("m") <= most) | (F.col("n") <= most)).drop("m", "n"), "named")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        if most:
-            full = scratch.keep(ends.groupBy("node").count().where(F.col("count") >= most).select("node"), "full")
-        wanted = ends.distinct()
-        some = texts.join(wanted, "node", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-        some = scratch.keep(some.select("node", "text"), "texts")
-        found = scratch.keep(verified(pairs, some, least, shingle), "similar")
-        links = found if links is None else links.union(found)
-        scratch.release(docs.sparkSession)
+    least_equal = int(np.ceil((least - SLACK) * SKETCH))
+    near = scratch.keep(candidates(nodes, bits, least_equal), "candidates")
+    roots = scratch.keep(connected(near), "components")
+    some = texts.join(roots, "node", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    some = scratch.keep(some.join(roots, "node").join(nodes, "node"), "texts")
+    scratch.release(docs.sparkSession)
+    links = scratch.keep(verified(some, least, shingle, bits, least_equal), "similar")
+    scratch.release(docs.sparkSession)
     return skew.first_of_groups(described.select(rows.ROW, "__node"), connected(links), docs.columns)

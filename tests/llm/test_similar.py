@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from phasewise.llm import similar
+from phasewise.llm.components import merge
 
 
 def test_edited_copies_are_one_group(spark):
@@ -76,3 +78,42 @@ def test_long_sketch_estimates_the_similarity():
         u, v = (np.frombuffer(similar.sketch(t, similar.LONG_SKETCH), np.uint8) for t in (x, y))
         assert len(u) == similar.LONG_SKETCH
         assert abs((u == v).mean() - similar.similarity(x, y)) < similar.LONG_SLACK
+
+
+def ball(n):
+    """Texts whose pairs are all a little under the similarity, and two copies of each with one edit."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for d in range(n):
+        text = list(base)
+        for at in rng.sample(range(20, 400), 6):
+            text[at] = f"x{d}"
+        texts.append(" ".join(text))
+        for e in range(2):
+            texts.append(" ".join([f"y{d}-{e}", *text[1:]]))
+    return texts
+
+
+def test_rows_of_a_ball_grow_with_its_size(spark, monkeypatch):
+    texts = ball(40)
+    made = [similar._described(pa.array([t]), 5) for t in texts]
+    rows = [(m[0][0].as_py(), m[1][0].as_py(), m[2][0].as_py(), 7, t) for m, t in zip(made, texts, strict=True)]
+    df = spark.createDataFrame(rows, "node long, fp long, sketch binary, root long, text string")
+    # A task returns a forest of each of 17 rotations at most, where the pairs are 7140.
+    assert similar.candidates(df.select("node", "fp", "sketch"), 16, 36).count() <= 17 * 120
+    cut = [similar.shingles(t) for t in texts]
+    plain = np.arange(120)
+    for i in range(120):
+        for j in range(i):
+            if similar.similarity(cut[i], cut[j]) >= 0.8:
+                plain = merge(plain, np.array([i]), np.array([j]))
+    assert len(set(plain.tolist())) > 1
+    for chunk in (1 << 10, 20):
+        monkeypatch.setattr(similar, "CHUNK", chunk)
+        links = similar.verified(df, 0.8, 5, 64, 0).collect()
+        place = {r[0]: i for i, r in enumerate(rows)}
+        a, b = (np.array([place[r[k]] for r in links]) for k in ("a", "b"))
+        labels = merge(np.arange(120), a, b)
+        assert labels.tolist() == plain.tolist()
+        assert chunk == 20 or len(links) < 120
