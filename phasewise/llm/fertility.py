@@ -37,14 +37,15 @@ MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 PATHS = tuple(f"{FOLDER}/{x}" for x in VOCABULARIES)
 
 
-def _per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[off[1:]] - total[off[:-1]]
+def _byte_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How often each row has each byte."""
+    return np.array([np.bincount(data[a:b], minlength=256) for a, b in zip(off[:-1], off[1:], strict=True)], np.int64).reshape(-1, 256)
 
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+#: Bytes that begin a character of a word.
+_CHAR = ~spans._IS_SPACE & ((np.arange(256) & 0xC0) != 0x80)
 
 
 def base_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -52,7 +53,7 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     starts, ends, rows = spans.words(data, off)
     n = len(off) - 1
     n_words = np.bincount(rows, minlength=n)
-    chars = ~spans._IS_SPACE[data] & ((data & 0xC0) != 0x80)
+    counts = _byte_counts(data, off)
     dup = np.zeros(n, np.int64)
     raw = data.tobytes()
     for i in range(n):
@@ -66,16 +67,16 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         twice = np.bincount(gram[at], minlength=1)[gram[at]] > 1
         for k in range(3):
             covered[at[twice] + k] = True
-    return n_words, _per_row(chars, off), _per_row(_SYMBOL[data], off), dup, np.bincount(rows[covered], minlength=n)
+    return n_words, counts[:, _CHAR].sum(axis=1), counts[:, _SYMBOL].sum(axis=1), dup, np.bincount(rows[covered], minlength=n)
 
 
 def script_of(data: np.ndarray, off: np.ndarray) -> list[str]:
-    counts = []
+    every, counts = _byte_counts(data, off), []
     for ranges in SCRIPTS.values():
         table = np.zeros(256, bool)
         for a, b in ranges:
             table[a : b + 1] = True
-        counts.append(_per_row(table[data], off))
+        counts.append(every[:, table].sum(axis=1))
     counts = np.array(counts)
     names = np.array([*SCRIPTS])[counts.argmax(axis=0)]
     return np.where(counts.max(axis=0) > 0, names, "other").tolist()

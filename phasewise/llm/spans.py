@@ -130,16 +130,28 @@ def gram_hashes(word: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(rolling(word, at, at + k)), rows[:n] == rows[k - 1 :]
 
 
+#: Numbers of grams stay below.
+MOST = 1 << 63
+
+
+def _numbered(x: np.ndarray) -> np.ndarray:
+    """Number of each value among the distinct ones, as they come."""
+    return pa.array(x).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def gram_codes(code: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Exact number of the k words from each word on (equal for equal words in one row), and whether they lie in one row."""
     n = len(code) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    gram = rows[:n]
+    size = int(code.max()) + 1
+    gram, most = rows[:n].astype(np.int64), int(rows.max()) + 1
     for i in range(k):
-        # Both numbers are below the number of words, so the pair's fits.
-        gram = pa.array(gram * (int(code.max()) + 1) + code[i : i + n]).dictionary_encode().indices.to_numpy().astype(np.int64)
-    return gram, rows[:n] == rows[k - 1 :]
+        if most * size >= MOST:
+            # Both numbers are below the number of words then, so the pair's fits.
+            gram, most = _numbered(gram), n
+        gram, most = gram * size + code[i : i + n], most * size
+    return _numbered(gram), rows[:n] == rows[k - 1 :]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

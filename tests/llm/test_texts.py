@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -552,3 +553,25 @@ def test_main_text_of_very_long_pages():
     assert html_text.main_text("<nav>x</nav><div><p>" + "<p>".join(lines) + "</div>") == "\n\n".join(lines)
     assert html_text.main_text("<p>" + " " * 1_000_000 + "x" * 1_000_000) == "x" * 1_000_000
     assert html_text.main_text("<div>" * 50_000 + STORY) == STORY.strip()
+
+
+def test_windows_are_numbered_once_where_their_numbers_fit(monkeypatch):
+    rng = np.random.default_rng(13)
+    code, row = rng.integers(0, 30, 4000), np.sort(rng.integers(0, 9, 4000))
+    want = [(row[i], *code[i : i + 3]) for i in range(3998)]
+    asked = []
+    plain = spans._numbered
+    monkeypatch.setattr(spans, "_numbered", lambda x: asked.append(1) or plain(x))
+    for most, times in ((1 << 63, 1), (1 << 10, 3)):
+        monkeypatch.setattr(spans, "MOST", most)
+        asked.clear()
+        gram, whole = spans.gram_codes(code, row, 3)
+        assert len({*zip(want, gram.tolist(), strict=True)}) == len(set(want)) == len(set(gram.tolist()))
+        assert whole.tolist() == [row[i] == row[i + 2] for i in range(3998)] and len(asked) == times
+
+
+def test_scripts_and_counts_of_bytes():
+    texts = ["", "abc # déf", "Ωμέγα αβγ $", "привет мир", "漢字 かな", "12 34", "שלום"]
+    data, off = spans.buffers(pa.array(texts))
+    assert fertility.script_of(data, off) == ["other", "latin", "greek", "cyrillic", "asian", "other", "semitic"]
+    assert [x.tolist() for x in fertility.base_counts(data, off)[1:3]] == [[len("".join(t.split())) for t in texts], [0, 1, 1, 0, 0, 0, 0]]
