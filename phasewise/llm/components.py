@@ -40,7 +40,7 @@ def connected(edges: DataFrame) -> DataFrame:
     have = scratch.keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    size = None
+    size, count = None, have.count()
     while True:
         both = have.select("u", "v").union(have.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -53,12 +53,14 @@ def connected(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        new = scratch.keep(small, "links")
+        # A link becomes two at most.
+        new = scratch.keep(scratch.narrow(small, 2 * count), "stars")
         now = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         scratch.forget(have)
         have = new
         if tuple(now) == size:
             break
-        size = tuple(now)
+        size, count = tuple(now), now[0]
     roots = have.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(have.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = roots.union(have.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return scratch.narrow(roots, 2 * size[0])

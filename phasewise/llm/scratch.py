@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+#: Rows of a few numbers that a task writes at least, if the table has so many.
+FEW = 1 << 16
 
 
 def root(spark: SparkSession) -> str:
@@ -46,6 +48,16 @@ def keep(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     return out
 
 
+def narrow(df: DataFrame, most: int) -> DataFrame:
+    """`df`, at most `most` rows of a few numbers behind a shuffle, in one partition for each FEW rows, or fewer.
+
+    A small table else becomes a file for every shuffle partition, and each
+    file costs a task, its commit and, where Hadoop has no native library and
+    the folder is local, processes forked from the executor for permissions.
+    """
+    return df.coalesce(max(1, -(-most // FEW)))
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -42,7 +42,7 @@ def first_of_groups(described: DataFrame, roots: DataFrame, columns: list[str])
     best = texts.groupBy("__node").agg(F.min(F.struct(*key, "__n")).alias("best"))
     rooted = best.join(roots.withColumnRenamed("node", "__node"), "__node", "left")
     first = rooted.groupBy(F.coalesce("root", "__node")).agg(F.min("best").alias("best")).select("best.*")
-    first = scratch.keep(first, "first-rows")
+    first = scratch.keep(scratch.narrow(first, described.count()), "first-rows")
     kept = keyed.join(first, [*key])
     hashed = [row[c] for c in columns if c not in ("doc_id", "text") and "map<" not in described.schema[rows.ROW].dataType[c].dataType.simpleString()]
     again = kept.where("__n > 1").groupBy(*key).agg(F.min_by(rows.ROW, F.xxhash64(*hashed) if hashed else F.lit(0)).alias(rows.ROW))

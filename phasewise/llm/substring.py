@@ -168,7 +168,7 @@ class WindowIndex:
         else:
             past = old.groupBy("h").agg(F.min("doc_id").alias("past"))
             shared = keys.join(past.hint("merge"), "h", "left").where("low < high or past < high")
-        shared = scratch.keep(shared.select("h"), "shared")
+        shared = scratch.keep(scratch.narrow(shared.select("h"), own.count()), "shared")
         rows, texts = own, batch
         if old is not None:
             rows = own.union(old)
@@ -186,8 +186,9 @@ class WindowIndex:
         scratch.release(self.spark)
         windows = scratch.keep(_verified(candidates, self.window, self.gram), "windows")
         scratch.forget(candidates)
+        most = windows.count()
         low = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-        low = scratch.keep(low.drop("high"), "first-windows")
+        low = scratch.keep(scratch.narrow(low.drop("high"), most), "first-windows")
         scratch.release(self.spark)
         hits = windows.join(low, ["w1", "w2"]).where("low < doc_id")
         hits = hits.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
@@ -195,7 +196,7 @@ class WindowIndex:
         if old is not None:
             mine = own.select("doc_id", "key").distinct()
             hits = hits.join(mine, ["doc_id", "key"], "left_semi")
-        out = scratch.keep(hits, "hits")
+        out = scratch.keep(scratch.narrow(hits, most + copies.count()), "hits")
         for table in (windows, shared, first, copies, low):
             scratch.forget(table)
         self.compact()

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from phasewise.llm import similar
+from phasewise.llm import scratch, similar, substring
 from phasewise.llm.components import merge
 
 
@@ -117,3 +117,34 @@ def test_rows_of_a_ball_grow_with_its_size(spark, monkeypatch):
         labels = merge(np.arange(120), a, b)
         assert labels.tolist() == plain.tolist()
         assert chunk == 20 or len(links) < 120
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    files, keep = {}, scratch.keep
+
+    def kept(df, name, compression=None):
+        out = keep(df, name, compression)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(scratch, "keep", kept)
+    base = [f"w{i}" for i in range(60)]
+    texts = [[f"d{d}x{i}" for i in range(200)] + base for d in range(40)]
+    texts += [[*t[:-70], "other", *t[-69:]] for t in texts]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    conf = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        one = sorted(r["doc_id"] for r in similar.keep_one(df).collect())
+        cut = {r["doc_id"]: r["text"] for r in substring.remove_passages(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert one == list(range(40))
+    assert cut[0] == " ".join(texts[0]) and all(cut[d] == " ".join(texts[d][:200]) for d in range(1, 40))
+    small = ("stars", "components", "first-rows", "shared", "first-windows", "hits")
+    assert {x: max(files.get(x, [0])) for x in small} == dict.fromkeys(small, 1)
+    df = spark.range(0, 5 * scratch.FEW, 1, 8)
+    assert scratch.narrow(df, 5 * scratch.FEW).rdd.getNumPartitions() == 5 and scratch.narrow(df, 9 * scratch.FEW).rdd.getNumPartitions() == 8
