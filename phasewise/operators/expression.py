@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phasewise.functions import columns as C
@@ -74,6 +75,50 @@ def fragment_pseudobulk(cells: DataFrame, min_cells: int = 1) -> DataFrame:
     return g.where(F.col("n_cells") >= min_cells).select("chrom", "pos", "ref", "alt", "ref_count", F.lit(0).cast("long").alias("alt_count"), "n_cells")
 
 
+def _pieces(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """Nonempty intervals cut at the borders of bins: __bin, __low, __high."""
+    each = df.where(F.col(start) < F.col(end)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+    return each.withColumns({"__low": F.greatest(F.col(start), F.col("__bin") * width), "__high": F.least(F.col(end), (F.col("__bin") + 1) * width)})
+
+
+def _swept(rows: DataFrame, *sums: str) -> DataFrame:
+    """`rows` (chrom, __bin, __x, __turn, ...) with running sums of columns along each bin, by place and turn."""
+    along = W.partitionBy("chrom", "__bin").orderBy("__x", "__turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumns({c: F.sum(c).over(along) for c in sums})
+
+
+def fragment_coverage(fragments: DataFrame, snps: DataFrame, min_fragments: int = 1, min_cells: int = 1, width: int = 1 << 10) -> DataFrame:
+    """fragment_pseudobulk() of fragment_counts(), without a row for each fragment or cell and variant.
+
+    Only borders of fragments are shuffled: how many variants lie before a border
+    tells a cell's overlaps, how many began and ended before a variant tells its
+    own, and of each cell the union of its fragments does so for cells.
+    """
+    long = lambda n: F.lit(n).cast("long")
+    points = snps.groupBy("chrom", "pos0", "pos", "ref", "alt").agg(F.count("*").alias("times"))
+    points = points.withColumns({"__bin": F.floor(F.col("pos0") / width), "__x": F.col("pos0").cast("long")})
+    f = fragments.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "barcode").where("barcode is not null")
+    # Variants before each border; borders come before variants at their place.
+    side = F.explode(F.array(F.struct(F.col("__low").alias("x"), long(-1).alias("sign")), F.struct(F.col("__high").alias("x"), long(1).alias("sign"))))
+    borders = _pieces(f, "start", "end", width).select("chrom", "__bin", "barcode", side.alias("b")).select("chrom", "__bin", F.col("b.x").alias("__x"), F.lit(0).alias("__turn"), "barcode", F.col("b.sign").alias("sign"), long(0).alias("before"))
+    # What lies at one place goes as one row.
+    places = points.groupBy("chrom", "__bin", "__x").agg(F.sum("times").alias("before")).select("chrom", "__bin", "__x", F.lit(1).alias("__turn"), "before")
+    ranked = _swept(borders.unionByName(places, allowMissingColumns=True), "before").where("sign is not null")
+    totals = ranked.groupBy("barcode").agg(F.sum(F.col("sign") * F.col("before")).alias("t")).where(F.col("t") >= min_fragments)
+    f = f.join(totals.select("barcode"), "barcode", "left_semi")
+    # The part of a fragment that no earlier one of its cell covers.
+    earlier = W.partitionBy("barcode", "chrom").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    f = f.withColumn("own", F.greatest("start", F.max("end").over(earlier)))
+    both = F.explode(F.array(*[F.struct(F.col(c).alias("s"), long(n).alias("n"), long(1 - n).alias("own")) for c, n in (("start", 1), ("own", 0))]))
+    spans = f.select("chrom", "end", both.alias("b")).select("chrom", F.col("b.s").alias("s"), "end", F.col("b.n").alias("n"), F.col("b.own").alias("cells"))
+    steps = _pieces(spans, "s", "end", width).select("chrom", "__bin", "n", "cells", side.alias("b"))
+    # side's signs are those of the ranks: a fragment begins with -1.
+    steps = steps.groupBy("chrom", "__bin", F.col("b.x").alias("__x")).agg(*[F.sum(-F.col("b.sign") * F.col(c)).alias(c) for c in ("n", "cells")]).withColumn("__turn", F.lit(0))
+    at = points.withColumns({"__turn": F.lit(1), "n": long(0), "cells": long(0)})
+    over = _swept(at.unionByName(steps, allowMissingColumns=True), "n", "cells").where(F.col("times").isNotNull() & (F.col("cells") >= max(1, min_cells)))
+    return over.select("chrom", "pos", "ref", "alt", (F.col("n") * F.col("times")).alias("ref_count"), long(0).alias("alt_count"), F.col("cells").alias("n_cells"))
+
+
 def snps_in_peaks(snps: DataFrame, peaks: DataFrame) -> DataFrame:
     p = peaks.select(F.col("chrom").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e"))
     out = interval_join(snps.withColumn("__end", F.col("pos0") + 1), p, ("chrom", "pos0", "__end"), ("__c", "__s", "__e"), how="left_semi")

@@ -622,7 +622,7 @@ def fragment_pseudobulk(spark, sf_dir):
     e = F.col("event_id")
     start = ((e * 53) % 50000).cast("long")
     f = A.table(spark, sf_dir, "events").select(F.concat(F.lit("chr"), e % 22).alias("chrom"), start.alias("start"), (start + 100 + e % 200).alias("end"), F.col("user_id").alias("barcode"))
-    return expression.fragment_pseudobulk(expression.fragment_counts(f, A.points(spark, sf_dir), 5), 2)
+    return expression.fragment_coverage(f, A.points(spark, sf_dir), 5, 2)
 
 
 @query(f"""
