@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phasewise.functions import columns as C
-from phasewise.operators.interval_join import READ_BIN, interval_join
+from phasewise.operators.interval_join import READ_BIN, interval_join, word_hits
 
 PAIRED, PROPER, UNMAPPED, REVERSE, FIRST, SECONDARY, SUPPLEMENTARY = 0x1, 0x2, 0x4, 0x10, 0x40, 0x100, 0x800
 
@@ -48,7 +48,7 @@ def overlapping_names(reads: DataFrame, variants: DataFrame) -> DataFrame:
     """qname of reads whose aligned span, splices included, holds any part of a variant."""
     r = primary(reads).select("qname", "chrom", "pos0", (F.col("pos0") + C.reference_length(F.col("cigar"))).alias("__end"))
     v = variants.select(F.col("chrom").alias("__c"), F.col("pos0").alias("__s"), F.col("end").alias("__e"))
-    return interval_join(r, v, ("chrom", "pos0", "__end"), ("__c", "__s", "__e"), READ_BIN).select("qname").distinct()
+    return word_hits(r, v, ("chrom", "pos0", "__end"), ("__c", "__s", "__e")).select("qname").distinct()
 
 
 def split_by_overlap(reads: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
