@@ -64,13 +64,18 @@ def read_variants(reads: DataFrame, variants: DataFrame) -> DataFrame:
         F.col("chrom"), F.col("pos0").alias("start"), (F.col("pos0") + C.reference_length(F.col("cigar"))).alias("stop"), F.col("qname").alias("read"),
         mate.alias("mate"), "mapq", F.when(has_any(F.col("flag"), REVERSE), "-").otherwise("+").alias("strand"), "file_order",
     )
+    # By start, an earlier record has a variant of a later one too, unless the variant begins behind it. So equal
+    # overlaps are told before the join, by reads, and never shuffled.
+    earlier = W.partitionBy("read", "mate", "chrom").orderBy("start", "file_order", "stop", "mapq", "strand").rowsBetween(W.unboundedPreceding, -1)
+    r = r.withColumn("__from", F.max("stop").over(earlier)).drop("file_order")
     v = variants.select(*[F.col(c).alias(f"v_{c}" if c in ("chrom", "pos0", "end") else c) for c in variants.columns])
+    key = ["v_chrom", "v_pos0", "v_end", "ref", "alt"]
+    more = [c for c in v.columns if c not in key]
+    # Of equal variants one stays.
+    rest = F.min(F.struct(*more)) if more else F.lit(None)
+    v = v.groupBy(*key).agg(rest.alias("__rest")).select(*[F.col(c) if c in key else F.col("__rest")[c].alias(c) for c in v.columns])
     out = interval_join(r, v, ("chrom", "start", "stop"), ("v_chrom", "v_pos0", "v_end"), READ_BIN)
-    key = ["read", "mate", "chrom", "v_pos0", "v_end", "ref", "alt"]
-    shown = [c for c in out.columns if c != "file_order"]
-    rest = F.struct(*[c for c in shown if c not in key])
-    first = out.groupBy(*key).agg(F.min_by(rest, F.struct("start", "file_order", "stop", "mapq", "strand")).alias("first"))
-    return first.select(*[F.col(c) if c in key else F.col("first")[c].alias(c) for c in shown])
+    return out.where(F.col("__from").isNull() | (F.col("v_pos0") >= F.col("__from"))).drop("__from")
 
 
 def classified_copies(remapped: DataFrame, slop: int = 0, sidecar: DataFrame | None = None, tag: str = C.TAG) -> DataFrame:
