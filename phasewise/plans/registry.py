@@ -227,7 +227,7 @@ def cell_read_reasons(spark, sf_dir):
     """Why reads over variants count in cells or don't."""
     v = A.points(spark, sf_dir).select("chrom", "pos0").distinct().withColumn("snp_idx", F.col("pos0"))
     barcodes = spark.range(40).select(F.col("id").cast("string").alias("barcode"), F.col("id").alias("bc_idx"))
-    return counting.cell_read_stats(A.reads(spark, sf_dir), v, barcodes)
+    return counting.cell_read_stats(A.cell_reads(spark, sf_dir), v, barcodes)
 
 
 @query(f"""
