@@ -204,7 +204,7 @@ def count_cells(spark, sf_dir):
     v = v.select("chrom", "pos0", F.substring("ra", 1, 1).alias("ref"), F.substring("ra", 2, 1).alias("alt"))
     v = cell_ops.dense_index(v, ["chrom", "pos0"], "snp_idx")
     barcodes = spark.range(40).select(F.col("id").cast("string").alias("barcode"), F.col("id").alias("bc_idx"))
-    return counting.count_cells(A.reads(spark, sf_dir), v, barcodes)
+    return counting.count_cells(A.cell_reads(spark, sf_dir), v, barcodes)
 
 
 @query(f"""
