@@ -51,6 +51,13 @@ def overlapping_names(reads: DataFrame, variants: DataFrame) -> DataFrame:
     return word_hits(r, v, ("chrom", "pos0", "__end"), ("__c", "__s", "__e")).select("qname").distinct()
 
 
+def overlap_masks(reads: DataFrame, variants: DataFrame, indel: Column) -> DataFrame:
+    """(qname, mask) of names that overlap a variant; `indel` is a condition on variants."""
+    r = primary(reads).select("qname", "chrom", "pos0", (F.col("pos0") + C.reference_length(F.col("cigar"))).alias("__end"))
+    hits = word_hits(r, variants, ("chrom", "pos0", "__end"), ("v_chrom", "v_pos0", "v_end"), snv=~indel, indel=indel)
+    return hits.groupBy("qname").agg(C.overlap_mask(F.col("snv"), F.col("indel")).alias("mask"))
+
+
 def split_by_overlap(reads: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(to_remap, keep): all records of names that overlap a variant, and the others."""
     names = overlapping_names(reads, variants)

@@ -213,9 +213,8 @@ SELECT r.qname, CAST(max(CASE WHEN p.pos % 3 > 0 THEN 1 ELSE 0 END) + 2 * max(CA
 FROM reads r JOIN points p ON r.chrom = p.chrom AND p.pos0 >= r.pos0 AND p.pos0 < r.pos0 + r.len WHERE flag <> 4 GROUP BY r.qname""")
 def overlap_masks(spark, sf_dir):
     """Which kinds of variants each name overlaps; every third place stands for an indel."""
-    hits = pairs.read_variants(A.reads(spark, sf_dir), A.points(spark, sf_dir))
-    indel = (F.col("v_pos0") + 1) % 3 == 0
-    return hits.groupBy(F.col("read").alias("qname")).agg(C.overlap_mask(~indel, indel).alias("mask"))
+    v = A.points(spark, sf_dir).select(F.col("chrom").alias("v_chrom"), F.col("pos0").alias("v_pos0"), F.col("end").alias("v_end"))
+    return pairs.overlap_masks(A.reads(spark, sf_dir), v, (F.col("v_pos0") + 1) % 3 == 0)
 
 
 @query(f"""
