@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from phasewise.functions import columns as C
 from phasewise.operators.interval_join import READ_BIN, interval_join
-from phasewise.operators.pairs import REVERSE, mate_pairs, overlapping_names
+from phasewise.operators.pairs import REVERSE, mate_pairs
 
 _OP = re.compile(r"(\d+)([MIDNSHP=X])")
 #: Quality of inserted bases without neighbours, and of padding.
@@ -248,8 +248,8 @@ COPIES = "qname string, chrom string, outcome string, name string, seq1 string,
 
 def _overlapping_pairs(alignments: DataFrame, variants: DataFrame, edit: Column, snv: Column) -> DataFrame:
     """Pairs with an overlap: qname, chrom, fields of both mates, edits1, edits2 (sorted, distinct) and overlap_mask."""
-    # Only names with an overlap are paired: most reads' sequences are never shuffled.
-    pairs = mate_pairs(alignments.join(overlapping_names(alignments, variants), "qname", "left_semi"))
+    # Records are paired before they meet variants: most have no mate on their chromosome and go with one shuffle.
+    pairs = mate_pairs(alignments.select("chrom", "qname", "file_order", "flag", "pos0", "cigar", "seq", "qual"))
     v = variants.select(F.col("chrom").alias("__c"), F.col("pos0").alias("__s"), F.col("end").alias("__e"), edit.alias("edit"), snv.alias("snv"))
     mates = []
     for i in (1, 2):
