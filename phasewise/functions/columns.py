@@ -135,8 +135,16 @@ def _block_length(cigar: Column) -> Column:
     return F.substr(cigar, F.lit(1), F.length(cigar) - 1).try_cast("long")
 
 
-def query_position(cigar: Column, pos0: Column, target: Column) -> Column:
-    """0-based place in the read of the reference position `target`, if a base is aligned there; else null."""
+def one_block_length(cigar: Column) -> Column:
+    """Length of an alignment that is one block of matches; null for others."""
+    return F.when(_one_block(cigar), _block_length(cigar))
+
+
+def query_position(cigar: Column, pos0: Column, target: Column, block: Column | None = None) -> Column:
+    """0-based place in the read of the reference position `target`, if a base is aligned there; else null.
+
+    block: one_block_length(), where it is at hand.
+    """
     zero = F.struct(pos0.cast("long").alias("ref"), F.lit(0).cast("long").alias("query"), F.lit(None).cast("long").alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -150,8 +158,9 @@ def query_position(cigar: Column, pos0: Column, target: Column) -> Column:
             F.coalesce(acc["at"], F.when(inside, acc["query"] + target - acc["ref"])).alias("at"),
         )
 
-    block = F.when((target >= pos0) & (target < pos0 + _block_length(cigar)), target - pos0)
-    return F.when(_one_block(cigar), block).otherwise(F.aggregate(cigar_ops(cigar), zero, step, lambda acc: acc["at"]))
+    simple, length = (_one_block(cigar), _block_length(cigar)) if block is None else (block.isNotNull(), block)
+    inside = F.when((target >= pos0) & (target < pos0 + length), target - pos0)
+    return F.when(simple, inside).otherwise(F.aggregate(cigar_ops(cigar), zero, step, lambda acc: acc["at"]))
 
 
 def location(pos0: Column, ref_end: Column, v_start: Column, v_end: Column) -> Column:
